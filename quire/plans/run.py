@@ -41,18 +41,23 @@ class Workspace:
         return LedgerStore(self.spark, f"{self.root}/ledger")
 
     def converted(self) -> DataFrame | None:
+        """The current conversion of every content that the ledger knows; None before the
+        first run. A content that was converted again counts with its last run."""
         try:
-            return self.spark.read.parquet(f"{self.root}/converted")
+            runs = self.spark.read.parquet(f"{self.root}/converted")
         except AnalysisException as problem:
             if is_missing(problem):
                 return None
             raise
+        current = self.ledger.read().groupBy("file_hash", "format").agg(F.max("seq").alias("run"))
+        return runs.join(current, ["file_hash", "format", "run"], "left_semi")
 
     # -- runs --------------------------------------------------------------
 
     def plan(self, docs: DataFrame) -> DataFrame:
         """What a run over ``docs`` (see ``inbox.scan``) would do; nothing is converted."""
-        return ledgers.build_plan(self._hashed(docs), self.ledger.read(), self.options)
+        hashed = cut_lineage(self._hashed(docs), "hashed")
+        return ledgers.build_plan(hashed, self.ledger.read(), self.options)
 
     def convert(self, docs: DataFrame, run_at: Column) -> DataFrame:
         """Converts what is pending and returns one result row per document of ``docs``."""
@@ -62,7 +67,7 @@ class Workspace:
         self._convert_new_contents(docs, pending, version)
         results = cut_lineage(self._results(plan, pending, version), "results")
         records = ledgers.build_records(results, run_at, version, self.options)
-        self.ledger.append(records, version)
+        self.ledger.append(records)
         return results
 
     def status(self) -> DataFrame:

@@ -14,8 +14,8 @@ from quire.sources.manifest import is_missing
 class LedgerStore:
     """A folder of parquet runs and a commit table that says which of them count.
 
-    A run is written first and committed after, so readers never see half a run; writing
-    the same version again replaces it, so a repeated batch is harmless. Adding records
+    A run is written first and committed after, so readers never see half a run; a named
+    run can be written again without harm. Adding records
     costs as much as the records; ``compact`` rewrites the ledger as one snapshot. There
     must be one writer at a time.
     """
@@ -35,23 +35,32 @@ class LedgerStore:
     def next_version(self) -> int:
         return (self._commits().agg(F.max("version")).first()[0] or 0) + 1
 
-    def append(self, records: DataFrame, version: int | None = None) -> int:
-        """Adds records as one run. A caller that may repeat itself names the version."""
-        version = self.next_version() if version is None else version
-        rows = records.withColumn("seq", F.lit(version).cast("long"))
-        self._write(rows, version, "run")
+    def append(self, records: DataFrame, name: str | None = None) -> int:
+        """Adds records as one run. A caller that may repeat itself gives the run a name:
+        a run of that name is replaced, not added again."""
+        version = self._version_of(name) or self.next_version()
+        self._write(records, version, "run", name)
         return version
 
     def compact(self) -> int:
         """Writes the current state as a snapshot; older runs are not read any more."""
         version = self.next_version()
-        self._write(self.read(), version, "snapshot")
+        rows = self.read().select(*LEDGER.fieldNames())
+        self._save(rows, version, "snapshot", None)
         return version
 
-    def _write(self, rows: DataFrame, version: int, kind: str) -> None:
-        ordered = rows.select(*LEDGER.fieldNames())
-        ordered.write.mode("overwrite").parquet(self._run(version))
-        commit = self.spark.createDataFrame([(version, kind)], COMMITS)
+    def _version_of(self, name: str | None) -> int | None:
+        if name is None:
+            return None
+        return self._commits().where(F.col("name") == name).agg(F.max("version")).first()[0]
+
+    def _write(self, records: DataFrame, version: int, kind: str, name: str | None) -> None:
+        rows = records.withColumn("seq", F.lit(version).cast("long"))
+        self._save(rows.select(*LEDGER.fieldNames()), version, kind, name)
+
+    def _save(self, rows: DataFrame, version: int, kind: str, name: str | None) -> None:
+        rows.write.mode("overwrite").parquet(self._run(version))
+        commit = self.spark.createDataFrame([(version, kind, name)], COMMITS)
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/v={version}")
 
     def _run(self, version: int) -> str:

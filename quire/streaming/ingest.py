@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.convert import Converter, convert
 from quire.options import Options
 from quire.plans.run import Workspace
+from quire.sources.inbox import with_format
 from quire.sources.ledger_store import LedgerStore
 
 
@@ -43,11 +43,11 @@ def start_conversion(
 
 
 def start_ledger(records: DataFrame, store: LedgerStore, checkpoint: str) -> StreamingQuery:
-    """Upserts ledger rows. A batch writes the run that carries its number, so a batch that
-    is repeated after a failure replaces itself."""
+    """Upserts ledger rows. A batch writes the run named after it, so a batch that is
+    repeated after a failure replaces itself."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        store.append(batch, version=batch_id + 1)
+        store.append(batch, name=f"{checkpoint}#{batch_id}")
 
     return (
         records.writeStream.foreachBatch(save)
@@ -65,8 +65,6 @@ def start_workspace(
     A repeated batch finds its documents in the ledger, or converts them again into the
     same content-addressed rows.
     """
-    from quire.sources.inbox import with_format
-
     def run(batch: DataFrame, batch_id: int) -> None:
         workspace.convert(with_format(batch), run_at)
 
