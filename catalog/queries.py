@@ -511,44 +511,47 @@ def orphan_outputs(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    """Ledger, texts, attachment groups and files: all documents are recorded, the labelled
+    """Ledger, links, attachment groups and files: all documents are recorded, the labelled
     ones have a text, of those the clean ones a group and the good ones their image."""
     doc_id = F.col("doc_id").cast("string")
     prefix = F.concat(F.lit("attachments/"), hash_prefix(F.col("file_hash")))
     image = F.concat(prefix, F.lit("/"), doc_id, F.lit(".png"))
     output_md = F.concat(doc_id, F.lit(".md"))
     docs = inbox(spark, sf_dir)
-    records = docs.select(
-        "file_hash", F.when(F.col("lang") == "es", "").otherwise(output_md).alias("output_md"),
-        prefix.alias("output_attachments"))
-    labels = table(spark, sf_dir, "labels")
+    records = cut_lineage(docs.select(
+        F.col("path").alias("source_path"), "file_hash",
+        F.when(F.col("lang") == "es", "").otherwise(output_md).alias("output_md"),
+        prefix.alias("output_attachments")), "records")
     md = F.concat(
         F.lit("![a]("), image, F.lit(") ![b](http://h.example/x.png)\n"), "text",
         F.lit("\n![c]("), prefix, F.lit("/b.jpg)"))
-    markdown = docs.select("doc_id", output_md.alias("output_md"), md.alias("md")).join(
-        labels.select("doc_id"), "doc_id", "left_semi").drop("doc_id")
+    texts = docs.select(output_md.alias("output_md"), md.alias("md"))
     kept = labelled(spark, sf_dir)
-    groups = kept.where("toxic = 0").select(prefix.alias("output_attachments")).distinct()
-    files = kept.where("quality = 1").select(image.alias("ref")).distinct()
-    return records, markdown, groups, files
+    markdown = kept.select(output_md.alias("output_md"))
+    all_links = validate.image_links(texts, "output_md")
+    links = cut_lineage(all_links.join(markdown, "output_md", "left_semi"), "links")
+    groups = kept.where("toxic = 0").select(prefix.alias("output_attachments"))
+    files = kept.where("quality = 1").select(image.alias("ref"))
+    return records, markdown, links, groups, files
 
 
 @query
 def missing_outputs(spark, sf_dir):
-    records, markdown, groups, _ = _checked(spark, sf_dir)
+    records, markdown, _, groups, _ = _checked(spark, sf_dir)
     return validate.missing_outputs(records, markdown, groups)
 
 
 @query
 def dangling_refs(spark, sf_dir):
-    _, markdown, _, files = _checked(spark, sf_dir)
-    return validate.dangling_refs(markdown, files)
+    _, _, links, _, files = _checked(spark, sf_dir)
+    return validate.ref_findings(validate.dangling_refs(links, files))
 
 
 @query
 def validation_summary(spark, sf_dir):
-    records, markdown, groups, files = _checked(spark, sf_dir)
-    return validate.summary(validate.validate(records, markdown, groups, files), records)
+    records, markdown, links, groups, files = _checked(spark, sf_dir)
+    findings = validate.validate(records, markdown, links, groups, files)
+    return validate.summary(findings, records)
 
 
 # -- whole runs and streams --------------------------------------------------------

@@ -60,7 +60,7 @@ RULES: list[tuple[str, str]] = [
     (r"&gt;?", ">"),
     (r"&quot;?", '"'),
     (r"&(?:#39|apos);", "'"),
-    (r"&nbsp;?", " "),
+    (r"&nbsp;?", "\u00a0"),
     (r"&copy;?", "©"),
     (r"&middot;?", "·"),
     (r"&amp;?", "&"),

@@ -34,7 +34,7 @@ def page_range(text: Column) -> Column:
 
 def page_selected(page: Column, start: Column, end: Column) -> Column:
     """Row filter for tables with one row per page; null bounds keep everything."""
-    return F.coalesce(page >= start, F.lit(True)) & F.coalesce(page <= end, F.lit(True))
+    return (start.isNull() | (page >= start)) & (end.isNull() | (page <= end))
 
 
 def slice_pages(text: Column, start: Column, end: Column, separator: str = "\f") -> Column:

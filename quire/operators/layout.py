@@ -72,7 +72,7 @@ def dedupe_names(
     else:
         numbered = cut_lineage(numbered, "numbered")
         settled = _settle(numbered, clashes, group, name, pos, rows_per_bucket)
-        chosen = _suffixes(numbered, settled, group, name, rows_per_bucket)
+        chosen = _suffixes(numbered, settled, group, name, pos, rows_per_bucket)
     suffixed = _suffixed(F.col(name), F.col("_suffix"))
     final = F.when(F.col("_suffix") == 0, F.col(name)).otherwise(suffixed)
     return chosen.withColumn(out, final).select(*files.columns, out)
@@ -140,12 +140,14 @@ def _settle(
 
 
 def _suffixes(
-    numbered: DataFrame, settled: DataFrame, group: str, name: str, rows_per_bucket: int
+    numbered: DataFrame, settled: DataFrame, group: str, name: str, pos: str,
+    rows_per_bucket: int,
 ) -> DataFrame:
     """The suffix per file: its number among the copies, plus the suffixes gone before it."""
     lost = settled.where("_taken").select(group, F.col("_child").alias(name), F.lit(1).alias("_lost"))
     number = (F.col("_copy") - 1 + F.coalesce("_lost", F.lit(0))).alias("_number")
-    files = numbered.join(lost, [group, name], "left").select(*numbered.columns, number)
+    files = lookup_join(numbered, lost, [group, name], "left", pos).select(
+        *numbered.columns, number)
     gaps = settled.where("_gone").select(
         group, F.col("_parent").alias(name), F.col("_turn").alias("_number"),
         F.lit(1).cast("long").alias("_gap"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.links import is_external, local_image_refs
+from quire.functions.links import local_image_refs
+from quire.operators.skew import HOT_ROWS, lookup_join
 
 ERROR, WARNING = "error", "warning"
 
@@ -20,7 +21,7 @@ def _has_output(ledger: DataFrame) -> DataFrame:
 
 
 def missing_outputs(
-    ledger: DataFrame, markdown: DataFrame, attachment_groups: DataFrame
+    ledger: DataFrame, markdown: DataFrame, attachment_groups: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Records without their outputs, as findings.
 
@@ -29,44 +30,61 @@ def missing_outputs(
     absent Markdown text is an error; an absent attachment group is a warning, looked at
     only where the Markdown exists.
     """
-    records = ledger.select("file_hash", "output_md", "output_attachments")
+    records = ledger.select("source_path", "file_hash", "output_md", "output_attachments")
     unnamed = records.where(F.coalesce(F.col("output_md"), F.lit("")) == "").select(
         *_finding(WARNING, "no_output", F.col("file_hash"), F.lit(None).cast("string")))
     named = _has_output(records)
     there = markdown.select("output_md").distinct().withColumn("_there", F.lit(True))
-    checked = named.join(there, "output_md", "left")
+    checked = lookup_join(named, there, ["output_md"], "left", "source_path", hot_rows)
     no_markdown = checked.where(F.col("_there").isNull()).select(
         *_finding(ERROR, "missing_markdown", F.col("output_md"), F.col("output_md")))
-    no_attachments = (
-        checked.where(F.col("_there") & (F.coalesce("output_attachments", F.lit("")) != ""))
-        .join(attachment_groups.select("output_attachments"), "output_attachments", "left_anti")
-        .select(*_finding(
-            WARNING, "missing_attachments", F.col("output_md"), F.col("output_attachments")))
-    )
+    grouped = checked.where(
+        F.col("_there") & (F.coalesce("output_attachments", F.lit("")) != ""))
+    groups = attachment_groups.select("output_attachments").distinct()
+    # copies of one content share a group, which may be a large part of all records
+    no_attachments = lookup_join(
+        grouped, groups, ["output_attachments"], "left_anti", "source_path", hot_rows
+    ).select(*_finding(
+        WARNING, "missing_attachments", F.col("output_md"), F.col("output_attachments")))
     return unnamed.unionByName(no_markdown).unionByName(no_attachments)
 
 
-def image_links(markdown: DataFrame) -> DataFrame:
-    """One row per local image link of ``markdown(output_md, md)``; external ones dropped."""
-    refs = markdown.select("output_md", F.explode(local_image_refs(F.col("md"))).alias("ref"))
-    return refs.where(~is_external(F.col("ref")))
+def image_links(texts: DataFrame, key: str) -> DataFrame:
+    """One row per local image link of ``texts(key, md)``; external ones dropped.
+
+    The rows are short: do this before any join, so that no join moves a text.
+    """
+    return texts.select(key, F.explode(local_image_refs(F.col("md"))).alias("ref"))
+
+
+def dangling_refs(
+    links: DataFrame, attachment_files: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Links (see ``image_links``) whose target is not among ``attachment_files(ref)``.
+
+    Any single target, such as a logo, may be in a large part of the texts.
+    """
+    key = next(c for c in links.columns if c != "ref")
+    there = attachment_files.select("ref").distinct()
+    return lookup_join(links, there, ["ref"], "left_anti", key, hot_rows)
 
 
-def dangling_refs(markdown: DataFrame, attachment_files: DataFrame) -> DataFrame:
-    """Local image links whose target is not among ``attachment_files(ref)``."""
-    missing = image_links(markdown).join(attachment_files.select("ref"), "ref", "left_anti")
+def ref_findings(missing: DataFrame) -> DataFrame:
+    """Findings for ``missing(output_md, ref)``."""
     return missing.select(*_finding(WARNING, "dangling_ref", F.col("output_md"), F.col("ref")))
 
 
 def validate(
-    ledger: DataFrame, markdown: DataFrame, attachment_groups: DataFrame,
-    attachment_files: DataFrame,
+    ledger: DataFrame, markdown: DataFrame, links: DataFrame, attachment_groups: DataFrame,
+    attachment_files: DataFrame, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """All findings. Links are checked once per text that some record names."""
+    """All findings, for one text per ``output_md``: ``markdown(output_md)`` lists the texts
+    and ``links(output_md, ref)`` their image links. Only texts that a record names count."""
     named = _has_output(ledger).select("output_md").distinct()
-    listed = markdown.join(named, "output_md", "left_semi")
-    outputs = missing_outputs(ledger, markdown, attachment_groups)
-    return outputs.unionByName(dangling_refs(listed, attachment_files))
+    missing = dangling_refs(links, attachment_files, hot_rows)
+    listed = missing.join(named, "output_md", "left_semi")
+    outputs = missing_outputs(ledger, markdown, attachment_groups, hot_rows)
+    return outputs.unionByName(ref_findings(listed))
 
 
 def summary(findings: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -74,22 +74,31 @@ class Workspace:
         return ledgers.status(self.ledger.read())
 
     def validate(self) -> DataFrame:
-        """Findings; ``checks.summary`` makes one row of them."""
+        """Findings; ``checks.summary`` makes one row of them.
+
+        Links are read and looked up once per content. Only the missing ones are joined to
+        the records that share that content.
+        """
         converted = self.converted()
         ledger = self.ledger.read()
         if converted is None:
-            nothing = self.spark.createDataFrame([], "output_md string, md string")
-            none = self.spark.createDataFrame([], "ref string, output_attachments string")
-            return checks.validate(ledger, nothing, none, none)
-        texts = converted.where(F.col("status") == "success").select(
-            "file_hash", "md", attachments_path(F.col("file_hash"), self.options).alias("group"))
-        names = ledger.where("output_md <> ''").select("file_hash", "output_md").distinct()
-        markdown = texts.join(names, "file_hash")
-        stored = attachments(converted).select(
-            F.concat(attachments_path(F.col("file_hash"), self.options), F.lit("/"), "name")
-            .alias("ref")).distinct()
-        groups = texts.select(F.col("group").alias("output_attachments")).distinct()
-        return checks.validate(ledger, markdown.select("output_md", "md"), groups, stored)
+            nothing = self.spark.createDataFrame([], "output_md string, output_attachments string")
+            return checks.missing_outputs(ledger, nothing, nothing)
+        group = attachments_path(F.col("file_hash"), self.options)
+        texts = converted.where(F.col("status") == "success")
+        links = cut_lineage(checks.image_links(texts, "file_hash"), "links")
+        stored = attachments(converted).select(F.concat(group, F.lit("/"), "name").alias("ref"))
+        missing = checks.dangling_refs(links, stored)
+        done = texts.select("file_hash", group.alias("output_attachments")).distinct()
+        records = cut_lineage(
+            ledger.where("output_md <> ''").select("source_path", "file_hash", "output_md"),
+            "records")
+        present = lookup_join(records, done, ["file_hash"], "inner", "source_path")
+        dangling = lookup_join(
+            records, missing, ["file_hash"], "inner", "source_path").select("output_md", "ref")
+        return checks.missing_outputs(
+            ledger, present.select("output_md"), done
+        ).unionByName(checks.ref_findings(dangling.distinct()))
 
     # -- steps -------------------------------------------------------------
 
