@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from catalog.epubs import COVER_LINK
-from quire.functions.markup import RULES
+from quire.functions.markup import PATTERN, RULES, START
 
 ORACLES: dict[str, str] = {}
 
@@ -14,21 +14,24 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _apply(rules: list[tuple[str, str, str]], text: str) -> str:
+    for kind, found, replacement in rules:
+        if kind == PATTERN:
+            groups = re.sub(r"\$(\d)", r"\\\1", replacement)
+            text = f"regexp_replace({text}, {_text(found)}, {_text(groups)}, 'g')"
+        else:
+            text = f"replace({text}, {_text(found)}, {_text(replacement)})"
+    return text
+
+
 def _markdown(html: str) -> str:
     """The rewriting rules as SQL. Queries that parse HTML in Python are checked by it too,
     so there it is a second, independent way to the same text."""
-    expression = html
-    for pattern, replacement in RULES:
-        groups = re.sub(r"\$(\d)", r"\\\1", replacement)
-        expression = f"regexp_replace({expression}, {_text(pattern)}, {_text(groups)}, 'g')"
-    return f"({expression} || chr(10))"
+    return "(" + _apply(RULES, f"({_text(START)} || {html})") + " || chr(10))"
 
 
 def _entities(text: str) -> str:
-    for pattern, replacement in RULES:
-        if pattern.startswith("&"):
-            text = f"regexp_replace({text}, {_text(pattern)}, {_text(replacement)}, 'g')"
-    return text
+    return _apply([rule for rule in RULES if rule[1].startswith("&")], text)
 
 
 _NAME = "regexp_extract({0}, '([^/]*)/*$', 1)"

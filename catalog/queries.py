@@ -67,6 +67,11 @@ def query(function: Query) -> Query:
     return function
 
 
+def _stored_ledger(spark, sf_dir):
+    """The ledger as a run finds it: a table, not a query over the texts."""
+    return cut_lineage(ledger(spark, sf_dir), "ledger")
+
+
 # -- sources -----------------------------------------------------------------------
 
 
@@ -102,7 +107,7 @@ def manifest_read(spark, sf_dir):
 def ledger_store(spark, sf_dir):
     """Two appended runs, a snapshot and a repeated run, then the current state."""
     store = LedgerStore(spark, shared_folder(spark, "ledger"))
-    rows = ledger(spark, sf_dir)
+    rows = _stored_ledger(spark, sf_dir)
     store.append(rows.where("seq = 1"))
     store.append(rows.where("seq = 2"), name="second")
     store.compact()
@@ -260,7 +265,7 @@ def html_to_markdown(spark, sf_dir):
 @query
 def html_to_markdown_sql(spark, sf_dir):
     """The expressions, over every page."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
     return pages.select("page_id", markup.html_to_markdown(F.col("html")).alias("md"))
 
 
@@ -334,7 +339,7 @@ def manifest_record(spark, sf_dir):
 
 @query
 def manifest_upsert(spark, sf_dir):
-    rows = ledger(spark, sf_dir)
+    rows = _stored_ledger(spark, sf_dir)
     again = rows.where("status = 'failed'").withColumns({
         "status": F.lit("success"), "error": F.lit(None).cast("string"),
         "output_md": F.concat("source_filename", F.lit(".md")),
@@ -349,33 +354,33 @@ def _hashed(spark, sf_dir):
 
 @query
 def incremental_plan(spark, sf_dir):
-    states = ledgers.classify(_hashed(spark, sf_dir), ledger(spark, sf_dir))
+    states = ledgers.classify(_hashed(spark, sf_dir), _stored_ledger(spark, sf_dir))
     return states.select("path", "file_hash", "state")
 
 
 @query
 def moved_files(spark, sf_dir):
-    states = ledgers.classify(_hashed(spark, sf_dir), ledger(spark, sf_dir))
+    states = ledgers.classify(_hashed(spark, sf_dir), _stored_ledger(spark, sf_dir))
     return states.where("state = 'moved'").select("path", "file_hash")
 
 
 @query
 def retry_plan(spark, sf_dir):
     options = Options(supported=(".txt", ".md"), retry_failed=True)
-    plan = ledgers.build_plan(_hashed(spark, sf_dir), ledger(spark, sf_dir), options)
+    plan = ledgers.build_plan(_hashed(spark, sf_dir), _stored_ledger(spark, sf_dir), options)
     return plan.select("path", "action", "reason")
 
 
 @query
 def plan(spark, sf_dir):
-    rows = ledgers.build_plan(_hashed(spark, sf_dir), ledger(spark, sf_dir), TEXT_OPTIONS)
+    rows = ledgers.build_plan(_hashed(spark, sf_dir), _stored_ledger(spark, sf_dir), TEXT_OPTIONS)
     return rows.select("path", "file_hash", "action", "reason")
 
 
 @query
 def pending(spark, sf_dir):
     docs = _hashed(spark, sf_dir)
-    rows = ledgers.build_plan(docs, ledger(spark, sf_dir), TEXT_OPTIONS)
+    rows = ledgers.build_plan(docs, _stored_ledger(spark, sf_dir), TEXT_OPTIONS)
     return ledgers.pending(docs, rows).select("path", "file_hash")
 
 
@@ -383,7 +388,7 @@ def pending(spark, sf_dir):
 def pending_forced(spark, sf_dir):
     docs = _hashed(spark, sf_dir)
     options = Options(supported=(".txt", ".md"), force=True)
-    rows = ledgers.build_plan(docs, ledger(spark, sf_dir), options)
+    rows = ledgers.build_plan(docs, _stored_ledger(spark, sf_dir), options)
     return ledgers.pending(docs, rows).select("path", "file_hash")
 
 
@@ -607,7 +612,7 @@ def stream_convert(spark, sf_dir):
 def stream_ledger(spark, sf_dir):
     """Ledger rows arrive generation by generation; the last one wins."""
     folder = shared_folder(spark, "stream")
-    rows = ledger(spark, sf_dir)
+    rows = _stored_ledger(spark, sf_dir)
     store = LedgerStore(spark, f"{folder}/ledger")
     for generation in (1, 2):
         rows.where(F.col("seq") == generation).write.mode("append").parquet(f"{folder}/in")

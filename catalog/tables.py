@@ -52,18 +52,17 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     Documents that are not English were converted from an archive folder; for toxic ones the
     first record is about a draft, and good toxic ones got a second record.
     """
-    old = labelled(spark, sf_dir)
-    toxic = F.col("toxic") == 1
-    then = F.when(toxic, F.col("draft_hash")).otherwise(F.col("file_hash"))
-    first = _records(old.withColumn("file_hash", then), 1)
-    second = _records(old.where(toxic & (F.col("quality") == 1)), 2)
-    return first.unionByName(second)
-
-
-def _records(docs: DataFrame, seq: int) -> DataFrame:
-    good = F.col("quality") == 1
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    first = F.struct(
+        F.when(toxic, F.col("draft_hash")).otherwise(F.col("file_hash")).alias("file_hash"),
+        F.lit(1).cast("long").alias("seq"))
+    second = F.struct("file_hash", F.lit(2).cast("long").alias("seq"))
+    # one pass over the texts, whatever the number of generations
+    generations = F.when(toxic & good, F.array(first, second)).otherwise(F.array(first))
+    rows = labelled(spark, sf_dir).withColumn("g", F.explode(generations)).withColumns({
+        "file_hash": F.col("g.file_hash"), "seq": F.col("g.seq")})
     archived = F.regexp_replace("path", "^inbox/", "archive/")
-    return docs.select(
+    return rows.select(
         F.when(F.col("lang") == "en", F.col("path")).otherwise(archived).alias("source_path"),
         "source_filename",
         F.col("length").alias("source_size"),
@@ -76,7 +75,7 @@ def _records(docs: DataFrame, seq: int) -> DataFrame:
         F.lit(RUN_AT).cast("timestamp").alias("converted_at"),
         F.when(good, "success").otherwise("failed").alias("status"),
         F.when(~good, "Unexpected error: unreadable").alias("error"),
-        F.lit(seq).cast("long").alias("seq"),
+        "seq",
     )
 
 

@@ -8,7 +8,7 @@ other on every page of the test tables.
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 # Markdown spelling of the inline and block elements.
 INLINE_MARKS = {
@@ -23,6 +23,16 @@ HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 BLOCKS = ("p", "div")
 HIDDEN = ("head", "script", "style")
 
+# Comments, tags and declarations. A quote only counts after ``=``, so a stray one cannot
+# swallow the text behind it; the repeat never gives back, so broken markup costs no more.
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>"
+    r"|<[!?/][^<>]*>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style")}
+_WITH_ATTRIBUTES = ("a", "img", "ol")
+
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 _ESCAPES = (
     (re.compile(r"\\(?=[\\`*_{}\[\]()#+\-.!])"), r"\\\\"),
@@ -31,6 +41,7 @@ _ESCAPES = (
 )
 _LINK_CHARACTERS = re.compile(r"([\\\[\]()])")
 _ABSOLUTE = re.compile(r"^[a-zA-Z+]+://")
+_MAYBE_LIST = re.compile(r"^\s*(?:[0-9]+\.|[+-])", re.M)
 # A letter after a closing mark needs a space, or the mark would not render.
 _GLUED = re.compile(r"[^\]\[(){}\s.!?]")
 
@@ -38,20 +49,46 @@ _GLUED = re.compile(r"[^\]\[(){}\s.!?]")
 def html_to_markdown(html: str) -> str:
     """Markdown with unwrapped lines, one line break between blocks, ``\\n`` at the end."""
     writer = _Writer()
-    writer.feed(html)
-    writer.close()
+    position = 0
+    while found := _MARKUP.search(html, position):
+        if found.start() > position:
+            writer.text(html[position:found.start()])
+        position = found.end()
+        end, tag, attributes = found.groups()
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if end:
+            writer.end_tag(tag)
+            continue
+        writer.start_tag(tag, _attributes(attributes) if tag in _WITH_ATTRIBUTES else {})
+        if attributes.endswith("/"):
+            writer.end_tag(tag)
+        elif tag in _RAW_END:
+            close = _RAW_END[tag].search(html, position)
+            position = close.start() if close else len(html)
+    if position < len(html):
+        writer.text(html[position:])
     return writer.result()
 
 
+def _attributes(text: str) -> dict[str, str | None]:
+    """The first value of every attribute; None for one without a value."""
+    found: dict[str, str | None] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        value = next(filter(None, values), "" if "=" in text else None)
+        found.setdefault(name.lower(), value and unescape(value))
+    return found
+
+
 def _in_link(text: str) -> str:
     return _LINK_CHARACTERS.sub(r"\\\1", text)
 
 
-class _Writer(HTMLParser):
+class _Writer:
     """Collects pieces of Markdown; white space is decided when the next piece comes."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.pieces: list[str] = []
         self.last = "\n"          # last character written
         self.line_break = False   # the next piece starts a new line
@@ -101,9 +138,11 @@ class _Writer(HTMLParser):
 
     # -- text ------------------------------------------------------------
 
-    def handle_data(self, data: str) -> None:
+    def text(self, data: str) -> None:
         if self.hidden:
             return
+        if "&" in data:
+            data = unescape(data)
         if self.preformatted:
             return self._preformatted(data)
         if self.after_open:
@@ -114,13 +153,15 @@ class _Writer(HTMLParser):
                 data = " " + data
             self.after_stressed = False
         if self.open_link is not None and data.strip():
-            if data == self.open_link and _ABSOLUTE.match(data):
-                self.open_link = self.links[-1]["href"] = None
+            inner = self.links[-1] if self.links else None
+            if inner and data == inner["href"] and _ABSOLUTE.match(data):
+                self.open_link = inner["href"] = None
                 return self.write(f"<{data}>")
             self._open_link()
         if self.tag not in ("code", "kbd", "tt"):
-            for pattern, replacement in _ESCAPES:
-                data = pattern.sub(replacement, data)
+            if "\\" in data or _MAYBE_LIST.search(data):
+                for pattern, replacement in _ESCAPES:
+                    data = pattern.sub(replacement, data)
         data = _BLANKS.sub(" ", data)
         if data.startswith(" "):
             self.blank = True
@@ -137,16 +178,16 @@ class _Writer(HTMLParser):
 
     # -- tags ------------------------------------------------------------
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def start_tag(self, tag: str, attributes: dict) -> None:
         self.tag = tag
         if tag in HIDDEN:
             self.hidden += 1
         elif tag == "body":
             self.hidden = 0   # a head that was never closed ends here
         elif not self.hidden:
-            self._start(tag, dict(attrs))
+            self._start(tag, attributes)
 
-    def handle_endtag(self, tag: str) -> None:
+    def end_tag(self, tag: str) -> None:
         self.tag = tag
         if tag in HIDDEN:
             self.hidden = max(self.hidden - 1, 0)

@@ -45,8 +45,11 @@ def rewrite_mapped_links(
     The saved name is looked up by the whole reference, then by its base name; an
     unknown image keeps its base name.
     """
-    alts = F.regexp_extract_all(md, F.lit(IMAGE_LINK), F.lit(1))
-    refs = image_refs(md)
+    # text and links side by side, so that the text is searched once and not per link
+    parts = F.arrays_zip(
+        F.split(md, _SPLIT, -1).alias("text"),
+        F.regexp_extract_all(md, F.lit(IMAGE_LINK), F.lit(1)).alias("alt"),
+        image_refs(md).alias("ref"))
 
     def saved(ref: Column) -> Column:
         base = file_name(ref)
@@ -58,10 +61,8 @@ def rewrite_mapped_links(
         moved = F.concat(prefix, F.lit("/"), saved(ref))
         return F.when(is_external(ref), ref).otherwise(moved) if keep_external else moved
 
-    def segment(text: Column, i: Column) -> Column:
-        ref = F.get(refs, i)
-        link = F.concat(F.lit("!["), F.get(alts, i), F.lit("]("), target(ref), F.lit(")"))
-        return F.concat(text, F.when(i < F.size(refs), link).otherwise(F.lit("")))
+    def rebuilt(part: Column) -> Column:
+        link = F.concat(F.lit("!["), part["alt"], F.lit("]("), target(part["ref"]), F.lit(")"))
+        return F.concat(part["text"], F.when(part["ref"].isNotNull(), link).otherwise(F.lit("")))
 
-    rebuilt = F.array_join(F.transform(F.split(md, _SPLIT, -1), segment), "")
-    return F.when(F.size(refs) > 0, rebuilt).otherwise(md)
+    return F.array_join(F.transform(parts, rebuilt), "")

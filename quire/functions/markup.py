@@ -1,8 +1,8 @@
 """HTML to Markdown as a chain of native expressions, for simple markup.
 
-The chain stays inside generated code, so it converts at scan speed. It covers
-headings, paragraphs, line breaks, rules, emphasis, code, links, images and flat
-lists; nested lists, tables and preformatted text need the parser in
+The chain stays inside generated code, with no Python worker. It covers headings,
+paragraphs, line breaks, rules, emphasis, code, links, images and flat lists, with tag
+names in lower case; nested lists, tables and preformatted text need the parser in
 ``functions/html.py``. Both give the same text for the markup covered here.
 """
 
@@ -11,72 +11,85 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+PATTERN, TEXT = "pattern", "text"
+
 # Control characters stand for layout until the last rules: \x01 block edge,
 # \x02 line break, \x03 end of a list, \x04 bullet.
 _BLANK = r"[ \t\n\r\f]"
-_HEADINGS = [
-    (rf"(?i)<h{n}(?: [^>]*)?>", "\x01" + "#" * n + " ") for n in range(1, 7)
-]
+_STRESS = r"strong|b|em|i|u|del|strike|s"
 
-# The rewriting rules, applied in this order to the whole text.
-RULES: list[tuple[str, str]] = [
+# The rewriting rules, applied in this order to the whole text. Patterns are
+# slow next to plain texts, so tags are brought to one spelling first and then replaced as
+# texts.
+RULES: list[tuple[str, str, str]] = [
     # what never shows
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b.*?</script>", ""),
-    (r"(?is)<style\b.*?</style>", ""),
-    (r"(?is)<head\b.*?</head>", ""),
+    (PATTERN, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>", ""),
     # text that would read as a Markdown list
-    (rf"(^|[>\n])({_BLANK}*[0-9]+)\.({_BLANK})", r"$1$2\\.$3"),
-    (rf"(^|[>\n])({_BLANK}*)([+])({_BLANK})", r"$1$2\\$3$4"),
-    (rf"(^|[>\n])({_BLANK}*)(-)([- \t\n\r\f])", r"$1$2\\$3$4"),
+    (PATTERN, rf"([>\n]{_BLANK}*[0-9]+)\.({_BLANK})", r"$1\\.$2"),
+    (PATTERN, rf"([>\n]{_BLANK}*)([+]{_BLANK}|-[- \t\n\r\f])", r"$1\\$2"),
     # white space
-    (rf"{_BLANK}+", " "),
-    (r"> +$", ">"),
+    (PATTERN, rf"{_BLANK}{{2,}}|[\t\n\r\f]", " "),
+    (PATTERN, r"> +$", ">"),
     # emphasis: no blanks inside the marks, one between a mark and a letter
-    (r"(?i)<(strong|b|em|i|u|del|strike|s)(?: [^>]*)?> *([^<]*?) *(<|$)", "<$1>$2$3"),
-    (r"(?i)</(strong|b|em|i|u|del|strike|s)>([^\]\[(){} .!?<])", "</$1> $2"),
-    (r"(?i)([^ !-/:-@\[-^`{-~>])<(em|i|u)>", "$1 <$2>"),
+    (PATTERN, rf"<({_STRESS})(?: [^>]*)?> *([^<]*?) *(<|$)", "<$1>$2$3"),
+    (PATTERN, rf"</({_STRESS})>([^\]\[(){{}} .!?<])", "</$1> $2"),
+    (PATTERN, r"([^ !-/:-@\[-^`{-~>])<(em|i|u)>", "$1 <$2>"),
     # links and images
-    (r'(?i)<img [^>]*?src="([^"]*)"[^>]*?alt="([^"]*)"[^>]*>', "![$2]($1)"),
-    (r'(?i)<img [^>]*?src="([^"]*)"[^>]*>', "![]($1)"),
-    (r'(?i)<a [^>]*?href="([^"#][^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
+    (PATTERN, r'<img [^>]*?src="([^"]*)"[^>]*?alt="([^"]*)"[^>]*>', "![$2]($1)"),
+    (PATTERN, r'<img [^>]*?src="([^"]*)"[^>]*>', "![]($1)"),
+    (PATTERN, r'<a [^>]*?href="([^"#][^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
+    # one spelling per tag
+    (PATTERN, r"<([a-z][a-z0-9]*)(?: [^>]*|/)>", "<$1>"),
     # blocks
-    *_HEADINGS,
-    (r"(?i)<br ?/?>", "\x02"),
-    (r"(?i)<hr ?/?>", "\x01* * *\x01"),
-    (r"(?i)<li(?: [^>]*)?>", "\x01\x04"),
-    (r"(?i)</ul>", "\x01\x03"),
-    (r"(?i)</?(?:p|div|li|ul|h[1-6])(?: [^>]*)?>", "\x01"),
+    *[(TEXT, f"<h{n}>", "\x01" + "#" * n + " ") for n in range(1, 7)],
+    *[(TEXT, f"</h{n}>", "\x01") for n in range(1, 7)],
+    (TEXT, "<p>", "\x01"),
+    (TEXT, "</p>", "\x01"),
+    (TEXT, "<div>", "\x01"),
+    (TEXT, "</div>", "\x01"),
+    (TEXT, "<br>", "\x02"),
+    (TEXT, "<hr>", "\x01* * *\x01"),
+    (TEXT, "<ul>", "\x01"),
+    (TEXT, "</ul>", "\x01\x03"),
+    (TEXT, "<li>", "\x01\x04"),
+    (TEXT, "</li>", "\x01"),
     # marks
-    (r"(?i)</?(?:strong|b)>", "**"),
-    (r"(?i)</?(?:em|i|u)>", "_"),
-    (r"(?i)</?(?:del|strike|s)>", "~~"),
-    (r"(?i)</?(?:code|kbd|tt)>", "`"),
-    (r"(?i)</?q>", '"'),
+    *[(TEXT, tag, "**") for tag in ("<strong>", "</strong>", "<b>", "</b>")],
+    *[(TEXT, tag, "_") for tag in ("<em>", "</em>", "<i>", "</i>", "<u>", "</u>")],
+    *[(TEXT, tag, "~~") for tag in ("<del>", "</del>", "<strike>", "</strike>", "<s>", "</s>")],
+    *[(TEXT, tag, "`") for tag in ("<code>", "</code>", "<kbd>", "</kbd>", "<tt>", "</tt>")],
+    *[(TEXT, tag, '"') for tag in ("<q>", "</q>")],
     # every other tag, then entities
-    (r"<[^>]*>", ""),
-    (r" {2,}", " "),
-    (r"&lt;?", "<"),
-    (r"&gt;?", ">"),
-    (r"&quot;?", '"'),
-    (r"&(?:#39|apos);", "'"),
-    (r"&nbsp;?", "\u00a0"),
-    (r"&copy;?", "©"),
-    (r"&middot;?", "·"),
-    (r"&amp;?", "&"),
+    (PATTERN, r"<[^>]*>", ""),
+    (PATTERN, r" {2,}", " "),
+    (PATTERN, r"&lt;?", "<"),
+    (PATTERN, r"&gt;?", ">"),
+    (PATTERN, r"&quot;?", '"'),
+    (TEXT, "&#39;", "'"),
+    (TEXT, "&apos;", "'"),
+    (PATTERN, r"&nbsp;?", " "),
+    (PATTERN, r"&copy;?", "©"),
+    (PATTERN, r"&middot;?", "·"),
+    (PATTERN, r"&amp;?", "&"),
     # layout
-    (r"\x04[\x01 ]*", "\x04"),
-    (r"\x01[\x01 ]*$", ""),
-    (r"^[\x01 ]+", ""),
-    (r"\x01[\x01 ]*", "\n"),
-    (r"\x02 *", "  \n"),
-    (r"\x03 *", "\n"),
-    (r"\x04", "  * "),
+    (PATTERN, r"\x04[\x01 ]+", "\x04"),
+    (PATTERN, r"\x01[\x01 ]*$", ""),
+    (PATTERN, r"^[\x01 ]+", ""),
+    (PATTERN, r"\x01[\x01 ]*", "\n"),
+    (PATTERN, r"\x02 *", "  \n"),
+    (PATTERN, r"\x03 *", "\n"),
+    (TEXT, "\x04", "  * "),
 ]
 
+# A line start before the text, so that no rule needs to look for the start itself.
+START = "\n"
+
 
 def html_to_markdown(html: Column) -> Column:
-    text = html
-    for pattern, replacement in RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+    text = F.concat(F.lit(START), html)
+    for kind, found, replacement in RULES:
+        if kind == PATTERN:
+            text = F.regexp_replace(text, found, replacement)
+        else:
+            text = F.replace(text, F.lit(found), F.lit(replacement))
     return F.concat(text, F.lit("\n"))

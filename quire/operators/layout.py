@@ -11,6 +11,7 @@ from quire.operators.skew import (
     cut_lineage,
     lookup_join,
     number_within,
+    quantile_cuts,
     running_total,
 )
 from quire.options import IMAGE_EXTENSIONS
@@ -108,37 +109,36 @@ def _settle(
     """
     copies = numbered.select(
         group, F.col(name).alias("_parent"), F.col("_copy"), F.col(pos).alias("_copy_pos"))
-    state = cut_lineage(clashes.select(
-        "*", F.lit(False).alias("_gone"), F.lit(False).alias("_taken"),
-        F.col("_j").alias("_turn")), "clashes")
+    state = cut_lineage(clashes.withColumns({
+        "_gone": F.lit(False), "_taken": F.lit(False)}), "clashes")
+    cuts = quantile_cuts(state, "_j", rows_per_bucket)
     while True:
-        gone = running_total(
-            state, [group, "_parent"], "_j", F.col("_gone").cast("long"), "_total",
-            rows_per_bucket)
-        lost = state.where("_taken").select(
-            group, F.col("_child").alias("_parent"), F.lit(1).alias("_lost"))
-        turn = F.col("_j") - (F.col("_total") - F.col("_gone").cast("long"))
-        asked = gone.join(lost, [group, "_parent"], "left").select(
-            group, "_parent", "_child", "_j", "_first",
-            F.col("_gone").alias("_old_gone"), F.col("_taken").alias("_old_taken"),
-            F.col("_turn").alias("_old_turn"), turn.alias("_turn"),
-            # the parent's own first file keeps its name unless that was taken
-            (turn + 1 - F.coalesce("_lost", F.lit(0))).alias("_copy"))
-        answered = asked.join(copies, [group, "_parent", "_copy"], "left")
-        reached = F.col("_copy_pos").isNotNull()
-        fresh = cut_lineage(answered.select(
-            group, "_parent", "_child", "_j", "_first",
-            (reached & (F.col("_first") < F.col("_copy_pos"))).alias("_gone"),
-            (reached & (F.col("_first") >= F.col("_copy_pos"))).alias("_taken"),
-            "_turn", "_old_gone", "_old_taken", "_old_turn"), "clashes")
-        changed = fresh.where(
-            (F.col("_gone") != F.col("_old_gone")) | (F.col("_taken") != F.col("_old_taken"))
-            | (F.col("_turn") != F.col("_old_turn")))
-        state = fresh.drop("_old_gone", "_old_taken", "_old_turn")
-        if changed.isEmpty():
+        fresh = cut_lineage(_ask_again(state, copies, group, cuts), "clashes")
+        changed = (F.col("_gone") != F.col("_old_gone")) | (F.col("_taken") != F.col("_old_taken"))
+        state = fresh.drop("_old_gone", "_old_taken")
+        if fresh.where(changed).isEmpty():
             return state
 
 
+def _ask_again(state: DataFrame, copies: DataFrame, group: str, cuts: list[float]) -> DataFrame:
+    gone = F.col("_gone").cast("long")
+    counted = running_total(state, [group, "_parent"], "_j", gone, "_total", cuts=cuts)
+    lost = state.where("_taken").select(
+        group, F.col("_child").alias("_parent"), F.lit(1).alias("_lost"))
+    turn = F.col("_j") - (F.col("_total") - gone)
+    asked = counted.join(lost, [group, "_parent"], "left").select(
+        group, "_parent", "_child", "_j", "_first", turn.alias("_turn"),
+        F.col("_gone").alias("_old_gone"), F.col("_taken").alias("_old_taken"),
+        # the parent's own first file keeps its name unless that was taken
+        (turn + 1 - F.coalesce("_lost", F.lit(0))).alias("_copy"))
+    answered = asked.join(copies, [group, "_parent", "_copy"], "left")
+    reached = F.col("_copy_pos").isNotNull()
+    return answered.select(
+        group, "_parent", "_child", "_j", "_first", "_turn", "_old_gone", "_old_taken",
+        (reached & (F.col("_first") < F.col("_copy_pos"))).alias("_gone"),
+        (reached & (F.col("_first") >= F.col("_copy_pos"))).alias("_taken"))
+
+
 def _suffixes(
     numbered: DataFrame, settled: DataFrame, group: str, name: str, pos: str,
     rows_per_bucket: int,

@@ -70,16 +70,17 @@ def _is_one_of(keys: Sequence[str], values: list[tuple]) -> Column:
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int = 1_000_000, cuts: list[float] | None = None,
 ) -> DataFrame:
     """``sum(value)`` over the rows of the same ``keys`` up to and including this row.
 
     ``order`` is numeric. A plain window would put a whole key into one task; here the
     order is cut into buckets at its quantiles. Sums within a bucket come from a window
     over (keys, bucket), and the sum of the earlier buckets from a table with one row per
-    key and bucket, so no task ever sees more than about ``rows_per_bucket`` rows of a key.
+    key and bucket, so no task ever sees more than about ``rows_per_bucket`` rows of a key. ``cuts`` are the
+    quantiles, if they are known already.
     """
-    cuts = quantile_cuts(df, order, rows_per_bucket)
+    cuts = quantile_cuts(df, order, rows_per_bucket) if cuts is None else cuts
     if not cuts:
         window = Window.partitionBy(*keys).orderBy(order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)

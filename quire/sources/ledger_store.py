@@ -60,7 +60,9 @@ class LedgerStore:
 
     def _save(self, rows: DataFrame, version: int, kind: str, name: str | None) -> None:
         rows.write.mode("overwrite").parquet(self._run(version))
-        commit = self.spark.createDataFrame([(version, kind, name)], COMMITS)
+        commit = self.spark.range(1).select(
+            F.lit(version).cast("long").alias("version"), F.lit(kind).alias("kind"),
+            F.lit(name).cast("string").alias("name"))
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/v={version}")
 
     def _run(self, version: int) -> str:
