@@ -15,9 +15,9 @@ from quire.functions.html import html_to_markdown
 from quire.functions.links import rewrite_local_links, rewrite_mapped_links
 from quire.functions.names import (
     file_stem,
-    file_suffix,
     hash_prefix,
     markdown_name,
+    unsupported_reason,
 )
 from quire.options import Options
 from quire.schemas import PARSED
@@ -60,13 +60,15 @@ def parse(docs: DataFrame, converters: Mapping[str, Converter]) -> DataFrame:
     """The Python stage: ``docs(path, file_hash, format, content)`` to ``PARSED`` rows.
 
     A document that its converter cannot read becomes a ``failed`` row with the error
-    text; the rest of the batch goes on.
+    text; the rest of the batch goes on. One of an unknown format becomes ``skipped``.
     """
     schema = to_arrow_schema(PARSED)
     table = dict(converters)
 
     def row(path, file_hash, fmt, content) -> dict:
         base = {"path": path, "file_hash": file_hash, "format": fmt}
+        if fmt not in table:
+            return base | {"status": "skipped"}
         try:
             if content is None:
                 raise ValueError("no content, or larger than the size limit")
@@ -116,11 +118,13 @@ def finish(parsed: DataFrame, options: Options = Options()) -> DataFrame:
         "file_hash",
         "format",
         "status",
-        "error",
+        F.when(F.col("status") == "skipped", unsupported_reason(F.col("path")))
+        .otherwise(F.col("error")).alias("error"),
         "title",
         F.when(F.col("status") == "success", name).alias("md_filename"),
         F.when(F.col("format").isin(*MAPPED_FORMATS), mapped).otherwise(local).alias("md"),
-        F.coalesce(F.size("images"), F.lit(0)).alias("image_count"),
+        F.when(F.col("status") != "skipped", F.coalesce(F.size("images"), F.lit(0)))
+        .alias("image_count"),
         hash_prefix(F.col("file_hash"), options.hash_prefix_length).alias("hash_prefix"),
         "images",
     )
@@ -132,17 +136,13 @@ def convert(
 ) -> DataFrame:
     """Convert ``docs(path, file_hash, format, content)``, each format by its converter.
 
-    Formats without a converter become ``skipped`` rows and never reach Python. A
-    document whose bytes were left out for its size becomes a ``failed`` row.
+    Formats without a converter become ``skipped`` rows, and their bytes stay out of the
+    Python stage. A document whose bytes were left out for its size becomes ``failed``.
     """
     table = dict(converters) if converters is not None else default_converters(options)
     known = F.col("format").isin(*table)
-    converted = finish(parse(docs.where(known), table), options)
-    reason = F.concat(F.lit("Unsupported format: "), file_suffix(F.col("path")))
-    skipped = docs.where(~known).select(
-        "path", "file_hash", "format", F.lit("skipped").alias("status"), reason.alias("error")
-    )
-    return converted.unionByName(skipped, allowMissingColumns=True)
+    bounded = docs.withColumn("content", F.when(known, F.col("content")))
+    return finish(parse(bounded, table), options)
 
 
 def bounded_content(options: Options = Options()) -> Column:

@@ -49,12 +49,12 @@ def missing_outputs(
     return unnamed.unionByName(no_markdown).unionByName(no_attachments)
 
 
-def image_links(texts: DataFrame, key: str) -> DataFrame:
-    """One row per local image link of ``texts(key, md)``; external ones dropped.
+def image_links(texts: DataFrame, *keys: str) -> DataFrame:
+    """One row per local image link of ``texts(keys, md)``; external ones dropped.
 
     The rows are short: do this before any join, so that no join moves a text.
     """
-    return texts.select(key, F.explode(local_image_refs(F.col("md"))).alias("ref"))
+    return texts.select(*keys, F.explode(local_image_refs(F.col("md"))).alias("ref"))
 
 
 def dangling_refs(

@@ -15,7 +15,6 @@ from quire.operators import ledger as ledgers
 from quire.operators import validate as checks
 from quire.operators.convert import (
     Converter,
-    attachments,
     attachments_path,
     bounded_content,
     convert,
@@ -43,14 +42,20 @@ class Workspace:
     def converted(self) -> DataFrame | None:
         """The current conversion of every content that the ledger knows; None before the
         first run. A content that was converted again counts with its last run."""
+        runs = self._runs()
+        return None if runs is None else self._current(runs)
+
+    def _runs(self) -> DataFrame | None:
         try:
-            runs = self.spark.read.parquet(f"{self.root}/converted")
+            return self.spark.read.parquet(f"{self.root}/converted")
         except AnalysisException as problem:
             if is_missing(problem):
                 return None
             raise
-        current = self.ledger.read().groupBy("file_hash", "format").agg(F.max("seq").alias("run"))
-        return runs.join(current, ["file_hash", "format", "run"], "left_semi")
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        last = self.ledger.read().groupBy("file_hash", "format").agg(F.max("seq").alias("run"))
+        return rows.join(last, ["file_hash", "format", "run"], "left_semi")
 
     # -- runs --------------------------------------------------------------
 
@@ -76,20 +81,24 @@ class Workspace:
     def validate(self) -> DataFrame:
         """Findings; ``checks.summary`` makes one row of them.
 
-        Links are read and looked up once per content. Only the missing ones are joined to
-        the records that share that content.
+        Links are taken from the texts before anything is joined, and looked up once per
+        content. Only the missing ones meet the records that share that content.
         """
-        converted = self.converted()
+        runs = self._runs()
         ledger = self.ledger.read()
-        if converted is None:
+        if runs is None:
             nothing = self.spark.createDataFrame([], "output_md string, output_attachments string")
             return checks.missing_outputs(ledger, nothing, nothing)
         group = attachments_path(F.col("file_hash"), self.options)
-        texts = converted.where(F.col("status") == "success")
-        links = cut_lineage(checks.image_links(texts, "file_hash"), "links")
-        stored = attachments(converted).select(F.concat(group, F.lit("/"), "name").alias("ref"))
+        content = ["file_hash", "format", "run"]
+        texts = runs.where(F.col("status") == "success")
+        all_links = checks.image_links(texts, *content)
+        links = cut_lineage(self._current(all_links).select("file_hash", "ref"), "links")
+        names = texts.select(*content, F.explode("images.name").alias("name"))
+        stored = self._current(names).select(F.concat(group, F.lit("/"), "name").alias("ref"))
         missing = checks.dangling_refs(links, stored)
-        done = texts.select("file_hash", group.alias("output_attachments")).distinct()
+        current = self._current(texts.select(*content))
+        done = current.select("file_hash", group.alias("output_attachments")).distinct()
         records = cut_lineage(
             ledger.where("output_md <> ''").select("source_path", "file_hash", "output_md"),
             "records")
