@@ -59,11 +59,11 @@ _INBOX = """inbox AS (
   FROM documents)"""
 
 _LEDGER = _INBOX + """, generations AS (
-  SELECT i.* EXCLUDE (file_hash), quality, 1 AS seq,
+  SELECT i.* EXCLUDE (file_hash), quality, CAST(1 AS BIGINT) AS seq,
     CASE WHEN toxic = 1 THEN sha256(text || ' (draft)') ELSE file_hash END AS file_hash
   FROM inbox i JOIN labels USING (doc_id)
   UNION ALL
-  SELECT i.* EXCLUDE (file_hash), quality, 2 AS seq, file_hash
+  SELECT i.* EXCLUDE (file_hash), quality, CAST(2 AS BIGINT) AS seq, file_hash
   FROM inbox i JOIN labels USING (doc_id) WHERE toxic = 1 AND quality = 1),
 ledger AS (
   SELECT CASE WHEN lang = 'en' THEN path ELSE 'archive/' || source || '/' || source_filename END
@@ -301,14 +301,15 @@ SELECT path AS source_path, source_filename, length AS source_size, file_hash,
   CASE WHEN quality = 1 THEN 'attachments/' || file_hash[1:8] ELSE '' END AS output_attachments,
   format, '2024-01-01 00:00:00' AS converted_at,
   CASE WHEN quality = 1 THEN 'success' ELSE 'failed' END AS status,
-  CASE WHEN quality = 1 THEN NULL ELSE 'Unexpected error: unreadable' END AS error, 3 AS seq
+  CASE WHEN quality = 1 THEN NULL ELSE 'Unexpected error: unreadable' END AS error,
+  CAST(3 AS BIGINT) AS seq
 FROM inbox JOIN labels USING (doc_id)"""
 
 ORACLES["manifest_upsert"] = f"""
 WITH {_LEDGER}, merged AS (
   SELECT source_path, file_hash, output_md, status, error, seq FROM ledger
   UNION ALL
-  SELECT source_path, file_hash, source_filename || '.md', 'success', NULL, 3
+  SELECT source_path, file_hash, source_filename || '.md', 'success', NULL, CAST(3 AS BIGINT)
   FROM ledger WHERE status = 'failed')
 SELECT * FROM merged
 QUALIFY row_number() OVER (PARTITION BY source_path, file_hash ORDER BY seq DESC) = 1"""

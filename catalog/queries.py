@@ -449,14 +449,14 @@ def _image_names(spark, sf_dir, name):
 @query
 def dedupe_names(spark, sf_dir):
     files = _image_names(spark, sf_dir, F.concat("lang", F.lit(".png")))
-    return layout.dedupe_names(files, "source", "name", "doc_id", rows_per_bucket=100_000)
+    return layout.dedupe_names(files, "source", "name", "doc_id")
 
 
 @query
 def dedupe_names_buckets(spark, sf_dir):
     """The same with buckets so short that a group is spread over several tasks."""
     files = _image_names(spark, sf_dir, F.concat("lang", F.lit(".png")))
-    return layout.dedupe_names(files, "source", "name", "doc_id", rows_per_bucket=100)
+    return layout.dedupe_names(files, "source", "name", "doc_id", rows_per_bucket=10)
 
 
 @query
@@ -466,7 +466,7 @@ def dedupe_names_clash(spark, sf_dir):
         F.when(F.col("n_chars") > 3000, "_1.png").when(F.col("n_chars") > 2000, "_2.png")
         .when(F.col("n_chars") > 1500, "_1_1.png").otherwise(".png"))
     files = _image_names(spark, sf_dir, F.concat("lang", ending))
-    return layout.dedupe_names(files, "source", "name", "doc_id", rows_per_bucket=100)
+    return layout.dedupe_names(files, "source", "name", "doc_id", rows_per_bucket=10)
 
 
 @query

@@ -11,7 +11,6 @@ from quire.operators.skew import (
     cut_lineage,
     lookup_join,
     number_within,
-    quantile_cuts,
     running_total,
 )
 from quire.options import IMAGE_EXTENSIONS
@@ -111,18 +110,20 @@ def _settle(
         group, F.col(name).alias("_parent"), F.col("_copy"), F.col(pos).alias("_copy_pos"))
     state = cut_lineage(clashes.withColumns({
         "_gone": F.lit(False), "_taken": F.lit(False)}), "clashes")
-    cuts = quantile_cuts(state, "_j", rows_per_bucket)
     while True:
-        fresh = cut_lineage(_ask_again(state, copies, group, cuts), "clashes")
+        fresh = cut_lineage(_ask_again(state, copies, group, rows_per_bucket), "clashes")
         changed = (F.col("_gone") != F.col("_old_gone")) | (F.col("_taken") != F.col("_old_taken"))
         state = fresh.drop("_old_gone", "_old_taken")
         if fresh.where(changed).isEmpty():
             return state
 
 
-def _ask_again(state: DataFrame, copies: DataFrame, group: str, cuts: list[float]) -> DataFrame:
+def _ask_again(
+    state: DataFrame, copies: DataFrame, group: str, rows_per_bucket: int
+) -> DataFrame:
     gone = F.col("_gone").cast("long")
-    counted = running_total(state, [group, "_parent"], "_j", gone, "_total", cuts=cuts)
+    counted = running_total(
+        state, [group, "_parent"], "_j", gone, "_total", rows_per_bucket)
     lost = state.where("_taken").select(
         group, F.col("_child").alias("_parent"), F.lit(1).alias("_lost"))
     turn = F.col("_j") - (F.col("_total") - gone)

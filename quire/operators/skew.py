@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 
 from quire.session import shared_folder
 
-# A key counts as hot above this share of the rows, so there are at most 1 / HOT_SHARE
-# hot keys, whatever the size of the table; that bounds what reaches the driver.
-HOT_SHARE = 0.01
+# At most this many keys are treated as hot, the largest ones; that bounds what reaches the
+# driver. Any other key has less than 1 / HOT_KEYS of the rows.
+HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 HOT_PARTS = 256
 MAX_BUCKETS = 1024
@@ -26,10 +25,6 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def lookup_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str,
     spread_by: str, hot_rows: int = HOT_ROWS,
@@ -44,7 +39,7 @@ def lookup_join(
     if not hot:
         return left.join(right, list(keys), how)
     part = F.pmod(F.xxhash64(spread_by), F.lit(HOT_PARTS)).cast("int")
-    is_hot = _is_one_of(keys, hot)
+    is_hot = is_one_of(left, keys, hot)
     parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
     salted_left = left.withColumn("_part", F.when(is_hot, part).otherwise(F.lit(0)))
     salted_right = right.withColumn("_part", F.explode(parts))
@@ -52,62 +47,64 @@ def lookup_join(
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[tuple]:
-    """The keys with more than ``HOT_SHARE`` of all rows and more than ``hot_rows`` rows."""
-    counts = df.groupBy(*keys).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    if total <= hot_rows:
-        return []
-    least = max(hot_rows, total * HOT_SHARE)
-    return [tuple(row[k] for k in keys) for row in counts.where(F.col("count") > least).collect()]
+    """The ``HOT_KEYS`` largest keys, as far as they have more than ``hot_rows`` rows.
+
+    Rows are counted in part before the shuffle, and only the largest counts are collected.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = counts.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows")).limit(HOT_KEYS)
+    return [tuple(row[k] for k in keys) for row in largest.collect()]
 
 
-def _is_one_of(keys: Sequence[str], values: list[tuple]) -> Column:
-    def equals(value: tuple) -> Column:
-        return reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, value)])
+def is_one_of(df: DataFrame, keys: Sequence[str], values: list[tuple]) -> Column:
+    """Whether the keys of a row of ``df`` are in a short list; nulls are equal."""
+    types = [df.schema[k].dataType for k in keys]
 
-    return reduce(Column.__or__, [equals(value) for value in values])
+    def entry(value: tuple) -> Column:
+        return F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, value, types)])
+
+    return F.struct(*keys).isin(*map(entry, values))
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
-    rows_per_bucket: int = 1_000_000, cuts: list[float] | None = None,
+    rows_per_bucket: int = 1_000_000,
 ) -> DataFrame:
     """``sum(value)`` over the rows of the same ``keys`` up to and including this row.
 
-    ``order`` is numeric. A plain window would put a whole key into one task; here the
-    order is cut into buckets at its quantiles. Sums within a bucket come from a window
-    over (keys, bucket), and the sum of the earlier buckets from a table with one row per
-    key and bucket, so no task ever sees more than about ``rows_per_bucket`` rows of a key. ``cuts`` are the
-    quantiles, if they are known already.
+    ``order`` is numeric. A plain window puts a whole key into one task, which is right for
+    all keys but the few hot ones. For those the order is cut into buckets at its quantiles:
+    sums within a bucket come from a window over (key, bucket), and the sums of the earlier
+    buckets from a table of at most ``MAX_BUCKETS`` rows per hot key.
     """
-    cuts = quantile_cuts(df, order, rows_per_bucket) if cuts is None else cuts
-    if not cuts:
+    hot = hot_keys(df, keys, rows_per_bucket)
+    if not hot:
         window = Window.partitionBy(*keys).orderBy(order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(value).over(window))
 
-    splits = [float("-inf"), *cuts, float("inf")]
+    is_hot = is_one_of(df, keys, hot)
+    cuts = quantile_cuts(df.where(is_hot), order, rows_per_bucket)
     bucketizer = Bucketizer(
-        splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
-    ordered = df.withColumns({"_order": F.col(order).cast("double"), "_value": value})
-    bucketed = bucketizer.transform(ordered).drop("_order")
-
-    within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(
+        splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_cut",
+        handleInvalid="keep")
+    # as one struct, keys with nulls are equal in a plain join, which can then use the
+    # partitioning and the order of the window: the rows are shuffled and sorted once
+    keyed = df.withColumns({
+        "_key": F.struct(*keys), "_order": F.col(order).cast("double"), "_value": value})
+    bucket = F.when(is_hot, F.col("_cut").cast("int"))
+    bucketed = bucketizer.transform(keyed).withColumn(
+        "_bucket", F.coalesce(bucket, F.lit(-1))).drop("_order", "_cut")
+
+    within = Window.partitionBy("_key", "_bucket").orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    sums = bucketed.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
-    offsets = sums.select(
-        *keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    sums = bucketed.where(is_hot).groupBy("_key", "_bucket").agg(F.sum("_value").alias("_sum"))
+    offsets = sums.select("_key", "_bucket", F.sum("_sum").over(earlier).alias("_before"))
     local = bucketed.withColumn("_local", F.sum("_value").over(within))
-    joined = local.join(
-        offsets.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
-                       F.col("_bucket").alias("_key_bucket"), "_before"),
-        reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-        & (F.col("_bucket") == F.col("_key_bucket")),
-    )
-    total = (F.col("_local") + F.col("_before")).alias(out)
-    return joined.select(*df.columns, total)
+    total = (F.col("_local") + F.coalesce("_before", F.lit(0))).alias(out)
+    return local.join(offsets, ["_key", "_bucket"], "left").select(*df.columns, total)
 
 
 def number_within(
@@ -124,8 +121,6 @@ def quantile_cuts(df: DataFrame, order: str, rows_per_bucket: int) -> list[float
         F.count(F.lit(1)).alias("rows"),
         F.percentile_approx(order, shares, F.lit(20 * MAX_BUCKETS)).alias("cuts"),
     ).first()
-    wanted = min(MAX_BUCKETS, -(-row["rows"] // rows_per_bucket))
-    if wanted <= 1:
-        return []
+    wanted = max(2, min(MAX_BUCKETS, -(-row["rows"] // rows_per_bucket)))
     step = MAX_BUCKETS // wanted
     return sorted({float(cut) for cut in row["cuts"][step - 1::step]})
