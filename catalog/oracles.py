@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from catalog.epubs import COVER_LINK
-from quire.functions.markup import PATTERN, RULES, START
+from quire.functions.markup import CHARACTERS, PATTERN, RULES, START
 
 ORACLES: dict[str, str] = {}
 
@@ -14,13 +14,20 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# DuckDB's patterns know no look-behind.
+_WITHOUT_LOOKBEHIND = {
+    r"<(?<=[^ !-/:-@\[-^`{-~]<)(em|i|u)>": (r"([^ !-/:-@\[-^`{-~])<(em|i|u)>", "$1 <$2>")}
+
+
 def _apply(rules: list[tuple[str, str, str]], text: str) -> str:
     for kind, found, replacement in rules:
         if kind == PATTERN:
+            found, replacement = _WITHOUT_LOOKBEHIND.get(found, (found, replacement))
             groups = re.sub(r"\$(\d)", r"\\\1", replacement)
             text = f"regexp_replace({text}, {_text(found)}, {_text(groups)}, 'g')"
         else:
-            text = f"replace({text}, {_text(found)}, {_text(replacement)})"
+            function = "translate" if kind == CHARACTERS else "replace"
+            text = f"{function}({text}, {_text(found)}, {_text(replacement)})"
     return text
 
 

@@ -11,73 +11,68 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PATTERN, TEXT = "pattern", "text"
+PATTERN, TEXT, CHARACTERS = "pattern", "text", "characters"
 
 # Control characters stand for layout until the last rules: \x01 block edge,
 # \x02 line break, \x03 end of a list, \x04 bullet.
 _BLANK = r"[ \t\n\r\f]"
 _STRESS = r"strong|b|em|i|u|del|strike|s"
 
-# The rewriting rules, applied in this order to the whole text. Patterns are
-# slow next to plain texts, so tags are brought to one spelling first and then replaced as
-# texts.
+# The rewriting rules, applied in this order to the whole text. A pattern
+# costs several times a plain text, so there are few of them and each starts with a
+# character that is rare.
 RULES: list[tuple[str, str, str]] = [
     # what never shows
     (PATTERN, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>", ""),
     # text that would read as a Markdown list
-    (PATTERN, rf"([>\n]{_BLANK}*[0-9]+)\.({_BLANK})", r"$1\\.$2"),
-    (PATTERN, rf"([>\n]{_BLANK}*)([+]{_BLANK}|-[- \t\n\r\f])", r"$1\\$2"),
+    (PATTERN,
+     rf"([>\n]{_BLANK}*[0-9]+)(\.{_BLANK})|([>\n]{_BLANK}*)([+]{_BLANK}|-[- \t\n\r\f])",
+     r"$1$3\\$2$4"),
     # white space
-    (PATTERN, rf"{_BLANK}{{2,}}|[\t\n\r\f]", " "),
-    (PATTERN, r"> +$", ">"),
+    (CHARACTERS, "\t\n\r\f", "    "),
+    (PATTERN, r"  +", " "),
+    (PATTERN, r"> $", ">"),
     # emphasis: no blanks inside the marks, one between a mark and a letter
-    (PATTERN, rf"<({_STRESS})(?: [^>]*)?> *([^<]*?) *(<|$)", "<$1>$2$3"),
+    (PATTERN, rf"<({_STRESS})(?: [^>]*)?> ?([^<]*?) ?(<|$)", "<$1>$2$3"),
     (PATTERN, rf"</({_STRESS})>([^\]\[(){{}} .!?<])", "</$1> $2"),
-    (PATTERN, r"([^ !-/:-@\[-^`{-~>])<(em|i|u)>", "$1 <$2>"),
+    (PATTERN, r"<(?<=[^ !-/:-@\[-^`{-~]<)(em|i|u)>", " <$1>"),
     # links and images
-    (PATTERN, r'<img [^>]*?src="([^"]*)"[^>]*?alt="([^"]*)"[^>]*>', "![$2]($1)"),
-    (PATTERN, r'<img [^>]*?src="([^"]*)"[^>]*>', "![]($1)"),
+    (PATTERN, r'<img [^>]*?src="([^"]*)"(?:[^>]*?alt="([^"]*)")?[^>]*>', "![$2]($1)"),
     (PATTERN, r'<a [^>]*?href="([^"#][^"]*)"[^>]*>([^<]*)</a>', "[$2]($1)"),
     # one spelling per tag
     (PATTERN, r"<([a-z][a-z0-9]*)(?: [^>]*|/)>", "<$1>"),
     # blocks
     *[(TEXT, f"<h{n}>", "\x01" + "#" * n + " ") for n in range(1, 7)],
-    *[(TEXT, f"</h{n}>", "\x01") for n in range(1, 7)],
-    (TEXT, "<p>", "\x01"),
-    (TEXT, "</p>", "\x01"),
-    (TEXT, "<div>", "\x01"),
-    (TEXT, "</div>", "\x01"),
     (TEXT, "<br>", "\x02"),
     (TEXT, "<hr>", "\x01* * *\x01"),
-    (TEXT, "<ul>", "\x01"),
-    (TEXT, "</ul>", "\x01\x03"),
     (TEXT, "<li>", "\x01\x04"),
-    (TEXT, "</li>", "\x01"),
+    (TEXT, "</ul>", "\x01\x03"),
+    (PATTERN, r"</?(?:p|div|li|ul|h[1-6])>", "\x01"),
     # marks
-    *[(TEXT, tag, "**") for tag in ("<strong>", "</strong>", "<b>", "</b>")],
-    *[(TEXT, tag, "_") for tag in ("<em>", "</em>", "<i>", "</i>", "<u>", "</u>")],
-    *[(TEXT, tag, "~~") for tag in ("<del>", "</del>", "<strike>", "</strike>", "<s>", "</s>")],
-    *[(TEXT, tag, "`") for tag in ("<code>", "</code>", "<kbd>", "</kbd>", "<tt>", "</tt>")],
-    *[(TEXT, tag, '"') for tag in ("<q>", "</q>")],
+    (PATTERN, r"</?(?:strong|b)>", "**"),
+    (PATTERN, r"</?(?:em|i|u)>", "_"),
+    (PATTERN, r"</?(?:del|strike|s)>", "~~"),
+    (PATTERN, r"</?(?:code|kbd|tt)>", "`"),
+    (PATTERN, r"</?q>", '"'),
     # every other tag, then entities
     (PATTERN, r"<[^>]*>", ""),
-    (PATTERN, r" {2,}", " "),
-    (PATTERN, r"&lt;?", "<"),
-    (PATTERN, r"&gt;?", ">"),
-    (PATTERN, r"&quot;?", '"'),
+    (PATTERN, r"  +", " "),
+    (PATTERN, r"&(lt|gt|quot|nbsp|copy|middot|amp);?", "&$1;"),
+    (TEXT, "&lt;", "<"),
+    (TEXT, "&gt;", ">"),
+    (TEXT, "&quot;", '"'),
     (TEXT, "&#39;", "'"),
     (TEXT, "&apos;", "'"),
-    (PATTERN, r"&nbsp;?", " "),
-    (PATTERN, r"&copy;?", "©"),
-    (PATTERN, r"&middot;?", "·"),
-    (PATTERN, r"&amp;?", "&"),
+    (TEXT, "&nbsp;", "\u00a0"),
+    (TEXT, "&copy;", "©"),
+    (TEXT, "&middot;", "·"),
+    (TEXT, "&amp;", "&"),
     # layout
-    (PATTERN, r"\x04[\x01 ]+", "\x04"),
-    (PATTERN, r"\x01[\x01 ]*$", ""),
-    (PATTERN, r"^[\x01 ]+", ""),
+    (PATTERN, r"([\x02\x03]) +|(\x04)[\x01 ]+", "$1$2"),
+    (PATTERN, r"^[\x01 ]+|\x01[\x01 ]*$", ""),
     (PATTERN, r"\x01[\x01 ]*", "\n"),
-    (PATTERN, r"\x02 *", "  \n"),
-    (PATTERN, r"\x03 *", "\n"),
+    (TEXT, "\x02", "  \n"),
+    (TEXT, "\x03", "\n"),
     (TEXT, "\x04", "  * "),
 ]
 
@@ -90,6 +85,8 @@ def html_to_markdown(html: Column) -> Column:
     for kind, found, replacement in RULES:
         if kind == PATTERN:
             text = F.regexp_replace(text, found, replacement)
+        elif kind == CHARACTERS:
+            text = F.translate(text, found, replacement)
         else:
             text = F.replace(text, F.lit(found), F.lit(replacement))
     return F.concat(text, F.lit("\n"))

@@ -26,6 +26,9 @@ SIMPLE = [
     ("<p>1. one</p><p>- two</p><p>+ three</p>", "1\\. one\n\\- two\n\\+ three\n"),
     ("<p>use <code>f(x)</code> or <del>y</del></p>", "use `f(x)` or ~~y~~\n"),
     ("<p>a<b>b<p>c", "a**b\nc\n"),
+    ("<p>say<em>x</em> (<em>y</em>) 1<em>z</em></p>", "say _x_ (_y_) 1 _z_\n"),
+    ("<p>t</p><ul> <li> <p>a</p> </li> <li>b </li> </ul> <br> c", "t\n  * a\n  * b \n\n  \nc\n"),
+    ("text</footer></html>\n", "text\n"),
     ("", "\n"),
 ]
 
