@@ -173,12 +173,12 @@ SELECT page_id,
     AS error
 FROM pages"""
 
-ORACLES["fingerprint_documents"] = "SELECT doc_id, sha256(text) AS file_hash FROM documents"
+ORACLES["fingerprint"] = "SELECT doc_id, sha256(text) AS file_hash FROM documents"
 
-ORACLES["hash_prefix_groups"] = """
+ORACLES["hash_prefix"] = """
 SELECT sha256(text)[1:8] AS hash_prefix, count(*) AS files FROM documents GROUP BY 1"""
 
-ORACLES["page_ranges"] = """
+ORACLES["page_range"] = """
 WITH texts AS (
   SELECT doc_id, CASE WHEN lang = 'en' THEN ' ' || doc_id || ' - ' || n_chars || ' '
     WHEN lang = 'fr' THEN n_chars || '' WHEN lang = 'de' THEN n_chars || 'x' || doc_id

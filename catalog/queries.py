@@ -63,7 +63,8 @@ TEXT_OPTIONS = Options(supported=(".txt", ".md"))
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Registers a query under its name; a last ``_`` only sets it apart from a column."""
+    QUERIES[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -163,20 +164,20 @@ def supported_split(spark, sf_dir):
 
 
 @query
-def fingerprint_documents(spark, sf_dir):
+def fingerprint_(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id", fingerprint(F.col("text")).alias("file_hash"))
 
 
 @query
-def hash_prefix_groups(spark, sf_dir):
+def hash_prefix_(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     prefix = hash_prefix(fingerprint(F.col("text")))
     return docs.groupBy(prefix.alias("hash_prefix")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query
-def page_ranges(spark, sf_dir):
+def page_range_(spark, sf_dir):
     n, other = F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
     pages = (
         F.when(F.col("lang") == "en", F.concat(F.lit(" "), other, F.lit(" - "), n, F.lit(" ")))

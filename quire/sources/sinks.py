@@ -39,5 +39,4 @@ def write_attachments(attachment_rows: DataFrame, path: str) -> None:
 
 
 def read_stored_attachments(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.option("partitionOverwriteMode", "dynamic").parquet(path)
-    return stored.drop("shard")
+    return spark.read.parquet(path).drop("shard")

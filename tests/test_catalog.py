@@ -37,7 +37,7 @@ def plan_of(frame):
 
 
 @pytest.mark.parametrize("name, columns", [
-    ("fingerprint_documents", "doc_id,text"), ("format_counts", "url"), ("output_tree", "doc_id,lang,source"),
+    ("fingerprint", "doc_id,text"), ("format_counts", "url"), ("output_tree", "doc_id,lang,source"),
     ("batch_stats", "doc_id"), ("page_rows", "conv_id,turn,role,text")])
 def test_scans_read_only_what_is_needed(spark, sf_dir, name, columns):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan_of(QUERIES[name](spark, sf_dir))).group(1)
