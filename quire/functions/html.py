@@ -18,6 +18,7 @@ INLINE_MARKS = {
     "code": "`", "kbd": "`", "tt": "`",
     "q": '"',
 }
+CODE = ("code", "kbd", "tt")
 STRESS = ("em", "i", "u", "strong", "b", "del", "strike", "s")
 HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 BLOCKS = ("p", "div")
@@ -101,7 +102,7 @@ class _Writer:
         self.after_list = False
         self.links: list[dict | None] = []
         self.open_link: str | None = None  # target of a link without text so far
-        self.preformatted = self.pre_start = False
+        self.preformatted = self.pre_start = self.code = False
         self.after_open = self.after_stressed = False
         self.tag = ""
         self.cells = 0
@@ -158,7 +159,7 @@ class _Writer:
                 self.open_link = inner["href"] = None
                 return self.write(f"<{data}>")
             self._open_link()
-        if self.tag not in ("code", "kbd", "tt"):
+        if not self.code:
             if "\\" in data or _MAYBE_LIST.search(data):
                 for pattern, replacement in _ESCAPES:
                     data = pattern.sub(replacement, data)
@@ -205,7 +206,11 @@ class _Writer:
             if tag == "p" or not self.links:
                 self.block()
         elif tag in INLINE_MARKS:
-            self._open_mark(tag)
+            if tag not in CODE:
+                self._open_mark(tag)
+            elif not self.preformatted:
+                self._open_mark(tag)
+                self.code = True
         elif tag == "br":
             self.write("  \n" + self._quote())
         elif tag == "hr":
@@ -256,7 +261,10 @@ class _Writer:
         if tag in HEADINGS or tag in BLOCKS:
             if not self.links:
                 self.block()
+        elif tag in CODE and self.preformatted:
+            pass   # the indent already says so
         elif tag in INLINE_MARKS:
+            self.code = self.code and tag not in CODE
             self.blank = self.blank and tag not in STRESS
             self.write(INLINE_MARKS[tag])
             self.after_open = False

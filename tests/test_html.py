@@ -37,6 +37,8 @@ NESTED = [
     ("<ol start=3><li><p>x</p></li><li>y</li></ol>", "  3. x\n  4. y\n\n\n"),
     ("<blockquote><p>a</p><p>b</p></blockquote><p>c</p>", "> a\n> b\nc\n"),
     ("<pre>a\n  b</pre><p>c</p>", "\n    a\n      b\nc\n"),
+    ("<pre><code>x = 1\ny</code></pre>", "\n    x = 1\n    y\n"),
+    ("<code>a\\*<b>b</b>\\*</code>\\*", "`a\\* **b** \\*`\\\\*\n"),
     ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>",
      "a| b  \n---|---  \n1| 2  \n"),
     ("<a href='http://a.b/c'>http://a.b/c</a>", "<http://a.b/c>\n"),
