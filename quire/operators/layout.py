@@ -58,7 +58,7 @@ def dedupe_names(
     rows_per_bucket: int = 1_000_000,
 ) -> DataFrame:
     """Names that are unique within a group: in order of ``pos``, a taken name gets the
-    lowest free suffix ``_1``, ``_2``…
+    lowest free suffix ``_1``, ``_2``… ``group`` is never null; ``pos`` is unique in it.
 
     Usually the suffix is the number of the copy, less one. It differs only if a suffixed
     name also comes as a name of its own in the group (``a.png`` twice and ``a_1.png``);
@@ -84,7 +84,7 @@ def _suffixed(name: Column, suffix: Column) -> Column:
 
 def _clashes(families: DataFrame, group: str, name: str) -> DataFrame:
     """Names of a group that could also be made from another name of it by a suffix."""
-    parts = r"^(.*)_([1-9][0-9]{0,17})$"
+    parts = r"(?s)^(.*)_([1-9][0-9]{0,17})$"
     stem = file_stem(F.col(name))
     children = families.where(stem.rlike(parts)).select(
         group,
