@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat, packing, quality, secrets, sharding
+from quire.llm import bpe, chat, packing, quality, secrets, sharding, simhash, token_files
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_digest(documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_digest(documents(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_counts(documents(spark, sf_dir)).select("doc_id", "n_tokens", "closed")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -37,5 +49,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_packing, op2_sharding, op4_secrets, op8_quality, op9_chat)}
+    f.__name__: f for f in (
+        op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
+        op8_quality, op9_chat)}
 ORACLES: dict[str, str] = {}
