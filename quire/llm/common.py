@@ -93,3 +93,16 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     roots = current.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     return roots.unionAll(
         roots.select(F.col("component").alias("id"), "component").distinct())
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def matched(left: DataFrame, right: DataFrame, on: Column, how: str, rows: int) -> DataFrame:
+    """A join in which the rows of ``left`` are large, such as whole texts.
+
+    ``rows`` is the counted number of rows of ``right``, which must be narrow: up to a
+    million of them go to every task, so that no text moves; above that, both sides are
+    shuffled.
+    """
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)

@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, chat, packing, quality, secrets, sharding, simhash, token_files
+from quire.llm import (
+    bpe,
+    chat,
+    jaccard,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_files,
+)
 from quire.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(documents(spark, sf_dir)).select("doc_id", "n_tokens", "closed")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), words=3, part=90)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -51,5 +65,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
-        op8_quality, op9_chat)}
+        op7_ngram_join, op8_quality, op9_chat)}
 ORACLES: dict[str, str] = {}
