@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing, quality, secrets
+from quire.llm import jaccard, packing, quality, repeats, secrets
 from quire.operators.skew import cut_lineage
 
 
@@ -13,6 +13,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word n-grams, similarity of 0.8 or more."""
+    return jaccard.keep_first(docs, words=5, part=80, whole=100)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur again are cut out, wherever they stand."""
+    return repeats.remove_repeats(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     return secrets.redact(docs)
@@ -25,6 +35,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
     ("secret scan", secret_scan),
     ("packing", pack),
 ]

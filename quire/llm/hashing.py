@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 _ODD = 0x9E3779B97F4A7C15
-_BASE = np.uint64(0x100000001B3)
-_BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 2**64))
+BASE = np.uint64(0x100000001B3)
+BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+_known_powers: dict[str, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -22,15 +22,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def power(base: np.uint64, n: int) -> np.ndarray:
     name = str(base)
-    known = _powers.get(name)
+    known = _known_powers.get(name)
     if known is None or len(known) < n:
         steps = np.full(max(n, 1 << 20), base, np.uint64)
         steps[0] = 1
         known = np.multiply.accumulate(steps)
         if len(known) <= 8 << 20:
-            _powers[name] = known
+            _known_powers[name] = known
     return known[:n]
 
 
@@ -46,9 +46,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
     sums = np.zeros(len(data) + 1, np.uint64)
-    values = (data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))
+    values = (data.astype(np.uint64) + np.uint64(1)) * power(BASE, len(data))
     np.cumsum(values, out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data))[starts]
+    hashes = (sums[ends] - sums[starts]) * power(BASE_INVERSE, len(data))[starts]
     hashes = mixed(hashes + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
     bounds = np.cumsum(sizes + 1)
     counts = np.diff(np.searchsorted(starts, bounds, "left"), prepend=0)

@@ -12,6 +12,7 @@ from quire.llm import (
     jaccard,
     packing,
     quality,
+    repeats,
     secrets,
     sharding,
     simhash,
@@ -62,8 +63,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(turns.unionByName(chat.control_case(spark)))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
-        op7_ngram_join, op8_quality, op9_chat)}
+        op7_ngram_join, op8_quality, op9_chat, op10_repeats)}
 ORACLES: dict[str, str] = {}
