@@ -150,7 +150,7 @@ ORACLES["manifest_read"] = f"WITH {_LEDGER} SELECT * EXCLUDE (seq) FROM ledger"
 
 ORACLES["ledger_store"] = f"""
 WITH {_LEDGER}
-SELECT source_path, file_hash, output_md, status, error, seq FROM current"""
+SELECT source_path, file_hash, output_md, status, error FROM current"""
 
 ORACLES["output_tree"] = f"""
 WITH {_TREE}
@@ -415,26 +415,13 @@ SELECT path, md_filename, count(*) OVER (PARTITION BY md_filename) > 1 AS shared
 ORACLES["image_files"] = f"""
 WITH {_TREE} SELECT path, length FROM tree WHERE path LIKE '%.png'"""
 
-ORACLES["group_fingerprint"] = """
-SELECT source, sha256(string_agg(doc_id || '.md' || n_chars, ''
-  ORDER BY string_split(source || '/' || lang || '/' || doc_id || '.md', '/'))) AS fingerprint
-FROM documents GROUP BY source"""
-
-# Groups of at most 8 * 1024 files: the digests of the pieces are digested once.
-ORACLES["group_fingerprint_pieces"] = """
+_WORDS = ", ".join(f"sum(('0x' || d[{8 * i + 1}:{8 * i + 8}])::BIGINT)" for i in range(8))
+ORACLES["group_fingerprint"] = f"""
 WITH files AS (
-  SELECT *, source || '/' || lang || '/' || doc_id || '.md' AS path,
-    count(*) OVER (PARTITION BY source) AS n FROM documents),
-placed AS (
-  SELECT *, CAST(pow(2, ceil(log2(greatest(n / 8.0, 1)))) AS BIGINT) AS pieces,
-    ('0x' || sha256(path)[1:8])::BIGINT AS spot FROM files),
-digests AS (
-  SELECT source, pieces, (spot * pieces) >> 32 AS piece,
-    sha256(string_agg(doc_id || '.md' || n_chars, '' ORDER BY string_split(path, '/'))) AS digest
-  FROM placed GROUP BY ALL)
-SELECT source, CASE WHEN max(pieces) = 1 THEN max(digest)
-  ELSE sha256(string_agg(digest, '' ORDER BY piece)) END AS fingerprint
-FROM digests GROUP BY source"""
+  SELECT source, sha256(lang || '/' || doc_id || '.md' || chr(0) || doc_id || '.md' || chr(0)
+    || n_chars) AS d FROM documents)
+SELECT source, sha256(concat_ws(',', {_WORDS}, count(*))) AS fingerprint
+FROM files GROUP BY source"""
 
 ORACLES["orphan_outputs"] = """
 SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)"""

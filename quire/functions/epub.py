@@ -18,12 +18,17 @@ OPF = "{http://www.idpf.org/2007/opf}"
 TITLE = "{http://purl.org/dc/elements/1.1/}title"
 DOCUMENT_TYPE = "application/xhtml+xml"
 
+KINDS = ("document", "image", "other")
 
-def read_epub(content: bytes, order: str = "manifest") -> tuple[str | None, list[tuple]]:
+
+def read_epub(
+    content: bytes, order: str = "manifest", kinds: tuple[str, ...] = KINDS
+) -> tuple[str | None, list[tuple]]:
     """``(title, [(name, kind, body)])`` with kind ``document``, ``image`` or ``other``.
 
     Names are relative to the package file. ``order`` is ``"manifest"`` or ``"spine"``;
-    in spine order the items that the spine does not list come last.
+    in spine order the items that the spine does not list come last. Items of other kinds
+    than ``kinds`` are left out and not unpacked.
     """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         rootfile = ElementTree.fromstring(archive.read(CONTAINER)).find(f".//{ROOTFILE}")
@@ -34,9 +39,12 @@ def read_epub(content: bytes, order: str = "manifest") -> tuple[str | None, list
         folder = posixpath.dirname(package_path)
         items = []
         for entry in _entries(package, order):
+            kind = _kind(entry.attrib.get("media-type", ""))
+            if kind not in kinds:
+                continue
             name = unquote(entry.attrib["href"])
             body = archive.read(posixpath.normpath(posixpath.join(folder, name)))
-            items.append((name, _kind(entry.attrib.get("media-type", "")), body))
+            items.append((name, kind, body))
         title = package.find(f".//{TITLE}")
         return (None if title is None else title.text), items
 

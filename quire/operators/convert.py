@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
@@ -21,13 +22,17 @@ from quire.functions.names import (
 )
 from quire.options import Options
 from quire.schemas import PARSED
+from quire.sources.files import read_path
 
 # A converter turns bytes into {"md": text} and may add "title" and
 # "images": [(name used in the text, bytes)].
 Converter = Callable[[bytes], dict]
 
 CHAPTER_BREAK = "\n\n"
-MAPPED_FORMATS = (".epub",)
+CHANGED = "changed during the run"
+# Arrow lists of bytes end at 2 GB; a result above that becomes an error of its row.
+LARGEST_ROW = (1 << 31) - (1 << 20)
+TASK_BYTES = 128 << 20
 
 
 def convert_html(content: bytes) -> dict:
@@ -41,7 +46,7 @@ def convert_text(content: bytes) -> dict:
 
 def epub_converter(order: str = "manifest") -> Converter:
     def convert(content: bytes) -> dict:
-        title, items = read_epub(content, order)
+        title, items = read_epub(content, order, kinds=("document", "image"))
         chapters = [
             html_to_markdown(body.decode("utf-8", errors="replace"))
             for _, kind, body in items if kind == "document"
@@ -56,22 +61,31 @@ def default_converters(options: Options = Options()) -> dict[str, Converter]:
     return {".epub": epub_converter(options.item_order)}
 
 
-def parse(docs: DataFrame, converters: Mapping[str, Converter]) -> DataFrame:
+def parse(
+    docs: DataFrame, converters: Mapping[str, Converter], by_path: bool = False,
+    check_hash: bool = False,
+) -> DataFrame:
     """The Python stage: ``docs(path, file_hash, format, content)`` to ``PARSED`` rows.
 
-    A document that its converter cannot read becomes a ``failed`` row with the error
-    text; the rest of the batch goes on. One of an unknown format becomes ``skipped``.
+    With ``by_path``, ``docs`` needs no content: the task opens the path itself. With
+    ``check_hash``, bytes that do not have the SHA-256 ``file_hash`` are an error. A document
+    that its converter cannot read becomes a ``failed`` row with the error text; the rest of
+    the batch goes on. One of an unknown format becomes ``skipped``.
     """
     schema = to_arrow_schema(PARSED)
     table = dict(converters)
 
-    def row(path, file_hash, fmt, content) -> dict:
+    def row(path, file_hash, fmt, content=None) -> dict:
         base = {"path": path, "file_hash": file_hash, "format": fmt}
         if fmt not in table:
             return base | {"status": "skipped"}
         try:
+            if by_path:
+                content = read_path(path)
             if content is None:
                 raise ValueError("no content, or larger than the size limit")
+            if check_hash and hashlib.sha256(content).hexdigest() != file_hash:
+                raise ValueError(CHANGED)
             found = table[fmt](content)
             names = [name for name, _ in found.get("images", ())]
             saved = saved_names(names)
@@ -82,10 +96,13 @@ def parse(docs: DataFrame, converters: Mapping[str, Converter]) -> DataFrame:
             lookup = {}
             for name, new in zip(names, saved):
                 lookup[name] = lookup[name.rsplit("/", 1)[-1]] = new
-            return base | {
+            done = base | {
                 "status": "success", "title": found.get("title"), "md": found["md"],
                 "images": images, "name_map": list(lookup.items()),
             }
+            if size_of(done) > LARGEST_ROW:
+                raise ValueError("the converted document does not fit into a row")
+            return done
         except Exception as problem:
             return base | {"status": "failed", "error": str(problem) or type(problem).__name__}
 
@@ -101,8 +118,8 @@ def parse(docs: DataFrame, converters: Mapping[str, Converter]) -> DataFrame:
         )
         return batches(rows, schema, size_of)
 
-    columns = docs.select("path", "file_hash", "format", "content")
-    return columns.mapInArrow(stage, PARSED)
+    columns = ["path", "file_hash", "format"] + ([] if by_path else ["content"])
+    return docs.select(*columns).mapInArrow(stage, PARSED)
 
 
 def finish(parsed: DataFrame, options: Options = Options()) -> DataFrame:
@@ -122,7 +139,8 @@ def finish(parsed: DataFrame, options: Options = Options()) -> DataFrame:
         .otherwise(F.col("error")).alias("error"),
         "title",
         F.when(F.col("status") == "success", name).alias("md_filename"),
-        F.when(F.col("format").isin(*MAPPED_FORMATS), mapped).otherwise(local).alias("md"),
+        # a converter that has images names them as its text does, whatever the format
+        F.when(F.size("name_map") > 0, mapped).otherwise(local).alias("md"),
         F.when(F.col("status") != "skipped", F.coalesce(F.size("images"), F.lit(0)))
         .alias("image_count"),
         hash_prefix(F.col("file_hash"), options.hash_prefix_length).alias("hash_prefix"),
@@ -132,22 +150,32 @@ def finish(parsed: DataFrame, options: Options = Options()) -> DataFrame:
 
 def convert(
     docs: DataFrame, converters: Mapping[str, Converter] | None = None,
-    options: Options = Options(),
+    options: Options = Options(), check_hash: bool = False,
 ) -> DataFrame:
     """Convert ``docs(path, file_hash, format, content)``, each format by its converter.
 
     Formats without a converter become ``skipped`` rows, and their bytes stay out of the
-    Python stage. A document whose bytes were left out for its size becomes ``failed``.
+    Python stage. A document without content becomes ``failed``.
     """
     table = dict(converters) if converters is not None else default_converters(options)
     known = F.col("format").isin(*table)
     bounded = docs.withColumn("content", F.when(known, F.col("content")))
-    return finish(parse(bounded, table), options)
+    return finish(parse(bounded, table, check_hash=check_hash), options)
 
 
-def bounded_content(options: Options = Options()) -> Column:
-    """``content``, or null for a document above the size limit."""
-    return F.when(F.col("length") <= options.max_bytes, F.col("content"))
+def convert_files(
+    files: DataFrame, converters: Mapping[str, Converter] | None = None,
+    options: Options = Options(),
+) -> DataFrame:
+    """Converts ``files(path, file_hash, format, length)`` by opening their paths in the
+    tasks: only narrow rows are shuffled, to spread the work, and only these files are read.
+    A file that no longer has ``file_hash`` becomes a ``failed`` row.
+    """
+    table = dict(converters) if converters is not None else default_converters(options)
+    total = files.agg(F.sum("length")).first()[0] or 0
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    dealt = files.repartition(max(cores, -(-total // TASK_BYTES)), "file_hash")
+    return finish(parse(dealt, table, by_path=True, check_hash=True), options)
 
 
 def attachments_path(file_hash: Column, options: Options = Options()) -> Column:

@@ -15,8 +15,6 @@ from quire.operators.skew import (
 )
 from quire.options import IMAGE_EXTENSIONS
 
-DIGESTS_PER_NODE = 1024
-
 
 def best_markdown(files: DataFrame, group: str, path: str, size: str) -> DataFrame:
     """One file per group: empty files are out; a name that contains the group's name, or
@@ -40,8 +38,9 @@ def image_files(files: DataFrame, path: str) -> DataFrame:
 
 
 def orphan_outputs(outputs: DataFrame, keep: DataFrame, key: str) -> DataFrame:
-    """Outputs that nobody keeps."""
-    return outputs.join(keep.select(key), key, "left_anti")
+    """Outputs that nobody keeps. Any one key may have a large part of the outputs."""
+    spread_by = next((c for c in outputs.columns if c != key), key)
+    return lookup_join(outputs, keep.select(key).distinct(), [key], "left_anti", spread_by)
 
 
 def flag_name_collisions(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -167,49 +166,21 @@ def _suffixes(
 
 
 def group_fingerprint(
-    files: DataFrame, group: str, path: str, name: str, size: str, leaf: int = 4096,
-    hot_rows: int = HOT_ROWS,
+    files: DataFrame, group: str, path: str, name: str, size: str
 ) -> DataFrame:
-    """SHA-256 over the names and sizes of a group's files, in order of their paths.
+    """A digest of the paths, names and sizes of a group's files, in whatever order.
 
-    Up to ``leaf`` files that is one digest over all of them. A larger group is parted by a
-    hash of the path into pieces of about ``leaf`` files, and the digests of the pieces are
-    digested again, ``DIGESTS_PER_NODE`` at a time, so that no task holds a whole group.
+    Each file has a SHA-256 of its path, name and size, parted by NUL; give paths below the
+    group, so that a group that was moved keeps its digest. The eight 32-bit words of those
+    digests are summed over the group, and the sums and the number of files are digested.
+    It is one definition for groups of all sizes, and sums are partial before the shuffle.
     """
-    counts = files.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(
-        group,
-        F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("_n") / leaf, F.lit(1.0)))))
-        .cast("long").alias("_pieces"))
-    spot = F.conv(F.substring(F.sha2(F.col(path), 256), 1, 8), 16, 10).cast("long")
-    placed = lookup_join(
-        files.select(group, path, name, size), counts, [group], "inner", path, hot_rows)
-    pieces = placed.withColumn(
-        "_piece", F.shiftright(spot * F.col("_pieces"), 32))
-    entry = F.struct(
-        F.split(F.col(path), "/").alias("order"),
-        F.concat(F.col(name), F.col(size).cast("string")).alias("text"))
-    digests = pieces.groupBy(group, "_pieces", "_piece").agg(
-        _digest_in_order(F.collect_list(entry)).alias("_digest"))
-    for _ in range(3):
-        digests = _digest_level(digests, group)
-    return digests.select(group, F.col("_digest").alias("fingerprint"))
-
-
-def _digest_level(digests: DataFrame, group: str) -> DataFrame:
-    up = digests.select(
-        group,
-        F.greatest(F.expr(f"_pieces div {DIGESTS_PER_NODE}"), F.lit(1)).alias("_up_pieces"),
-        F.expr(f"_piece div {DIGESTS_PER_NODE}").alias("_up_piece"),
-        F.col("_pieces"), F.col("_piece").alias("order"), F.col("_digest").alias("text"))
-    digested = up.groupBy(group, "_up_pieces", "_up_piece").agg(
-        F.max("_pieces").alias("_below"), F.max("text").alias("_only"),
-        _digest_in_order(F.collect_list(F.struct("order", "text"))).alias("_joined"))
-    return digested.select(
-        group, F.col("_up_pieces").alias("_pieces"), F.col("_up_piece").alias("_piece"),
-        F.when(F.col("_below") == 1, F.col("_only")).otherwise(F.col("_joined")).alias("_digest"))
-
-
-def _digest_in_order(entries: Column) -> Column:
-    texts = F.transform(F.array_sort(entries), lambda e: e["text"])
-    return F.sha2(F.array_join(texts, ""), 256)
-
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (path, name, size)]
+    digest = F.sha2(F.concat_ws("\0", *text), 256)
+    words = [
+        F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+        for i in range(8)]
+    summed = files.select(group, digest.alias("_digest")).groupBy(group).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)])
+    parts = [F.col(c).cast("string") for c in (*(f"_w{i}" for i in range(8)), "_n")]
+    return summed.select(group, F.sha2(F.concat_ws(",", *parts), 256).alias("fingerprint"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.names import is_supported, unsupported_reason
 from quire.operators.convert import attachments_path
-from quire.operators.skew import HOT_ROWS, lookup_join
+from quire.operators.skew import HOT_ROWS, cut_lineage, lookup_join
 from quire.options import Options
 from quire.schemas import LEDGER
 
@@ -65,11 +65,15 @@ def classify(
     unchanged: the latest record of this path has the same hash; modified: another one;
     moved: the path is unknown, but name, size and hash are those of a record; else new.
     With ``retry_failed``, an unchanged document that failed before is ``retry``.
+
+    Documents meet the ledger by path first. Only those whose path is unknown, which are few
+    in a usual run, are looked up by name, size and hash.
     """
     by_path = last_per(ledger, "source_path").select(
         F.col("source_path").alias("path"),
         F.col("file_hash").alias("_hash"),
         F.col("status").alias("_status"),
+        F.lit(True).alias("_known"),
     )
     seen = ledger.where(F.col("source_size").isNotNull()).select(
         F.col("source_filename"), F.col("source_size").alias("length"), "file_hash",
@@ -79,14 +83,15 @@ def classify(
     state = (
         F.when((F.col("_hash") == F.col("file_hash")) & failed, "retry")
         .when(F.col("_hash") == F.col("file_hash"), "unchanged")
-        .when(F.col("_hash").isNotNull(), "modified")
-        .when(F.col("_moved"), "moved")
-        .otherwise("new")
+        .otherwise("modified")
     )
-    known = lookup_join(
-        docs, seen, ["source_filename", "length", "file_hash"], "left", "path", hot_rows)
-    found = known.join(by_path, "path", "left")
-    return found.select(*docs.columns, state.alias("state"))
+    found = cut_lineage(docs.join(by_path, "path", "left"), "by-path")
+    known = found.where("_known").select(*docs.columns, state.alias("state"))
+    fresh = found.where("_known is null").select(*docs.columns)
+    looked_up = lookup_join(
+        fresh, seen, ["source_filename", "length", "file_hash"], "left", "path", hot_rows)
+    moved = F.when(F.col("_moved"), "moved").otherwise("new")
+    return known.unionByName(looked_up.select(*docs.columns, moved.alias("state")))
 
 
 def build_plan(
@@ -110,9 +115,12 @@ def build_plan(
 
 
 def pending(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The documents a plan does not leave out, with all their columns."""
-    left_out = plan.where(F.col("action") != "process").select("path")
-    return docs.join(left_out, "path", "left_anti")
+    """The documents a plan does not leave out, with all their columns. Where the plan has
+    those itself, as ``build_plan`` does, that is a filter."""
+    todo = plan.where(F.col("action") == "process")
+    if set(docs.columns) <= set(plan.columns):
+        return todo.select(*docs.columns)
+    return docs.join(todo.select("path"), "path", "left_semi")
 
 
 def status(ledger: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from quire.session import shared_folder
 HOT_KEYS = 1000
 HOT_ROWS = 1_000_000
 HOT_PARTS = 256
+LEFT_JOINS = ("inner", "left", "left_outer", "left_semi", "semi", "left_anti", "anti")
 MAX_BUCKETS = 1024
 
 
@@ -33,8 +34,11 @@ def lookup_join(
 
     The hot keys are counted first (partial counts before the shuffle). Their left rows
     are spread over ``HOT_PARTS`` sub-keys by a hash of ``spread_by``, and only their
-    right rows are repeated once per sub-key; all other rows join as usual.
+    right rows are repeated once per sub-key; all other rows join as usual. Joins that keep
+    right rows without a match would repeat those, so they are refused.
     """
+    if how not in LEFT_JOINS:
+        raise ValueError(f"no spread join of kind {how!r}; one of {', '.join(LEFT_JOINS)}")
     hot = hot_keys(left, keys, hot_rows)
     if not hot:
         return left.join(right, list(keys), how)
@@ -107,6 +111,13 @@ def running_total(
     return local.join(offsets, ["_key", "_bucket"], "left").select(*df.columns, total)
 
 
+def numbered_rows(df: DataFrame, order: str, out: str = "place") -> DataFrame:
+    """A number that grows along ``order``: rows are sorted in ranges, so no task sees all."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order)
+    return ranged.withColumn(out, F.monotonically_increasing_id())
+
+
 def number_within(
     df: DataFrame, keys: Sequence[str], order: str, out: str, rows_per_bucket: int = 1_000_000
 ) -> DataFrame:

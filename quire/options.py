@@ -26,7 +26,7 @@ class Options:
 
     force: convert documents the ledger already holds.
     retry_failed: treat an unchanged document whose last run failed as pending.
-    max_bytes: larger documents become ``failed`` rows; their bytes are not read.
+    max_bytes: larger documents become ``failed`` rows and are not read; None means no limit.
     item_order: ``"manifest"`` or ``"spine"`` order of an EPUB's chapters.
     """
 
@@ -36,6 +36,6 @@ class Options:
     ledger_version: str = "1.0"
     force: bool = False
     retry_failed: bool = False
-    max_bytes: int = 1 << 30
+    max_bytes: int | None = None
     item_order: str = "manifest"
     keep_external_images: bool = False

@@ -16,16 +16,21 @@ from quire.operators import validate as checks
 from quire.operators.convert import (
     Converter,
     attachments_path,
-    bounded_content,
     convert,
+    convert_files,
 )
 from quire.operators.skew import cut_lineage, lookup_join
 from quire.options import Options
+from quire.session import scratch
 from quire.sources import inbox
+from quire.sources.files import hashed_by_path
 from quire.sources.ledger_store import LedgerStore
 from quire.sources.manifest import is_missing
 
 
+CONTENT = ["file_hash", "format"]
+
+
 @dataclass
 class Workspace:
     """Where a collection's outputs live, and how it is converted."""
@@ -59,70 +64,109 @@ class Workspace:
 
     # -- runs --------------------------------------------------------------
 
-    def plan(self, docs: DataFrame) -> DataFrame:
+    def plan(self, docs: DataFrame, by_path: bool = False) -> DataFrame:
         """What a run over ``docs`` (see ``inbox.scan``) would do; nothing is converted."""
-        hashed = cut_lineage(self._hashed(docs), "hashed")
+        hashed = cut_lineage(self._hashed(docs, by_path), "hashed")
         return ledgers.build_plan(hashed, self.ledger.read(), self.options)
 
-    def convert(self, docs: DataFrame, run_at: Column) -> DataFrame:
-        """Converts what is pending and returns one result row per document of ``docs``."""
+    def convert(self, docs: DataFrame, run_at: Column, by_path: bool = False) -> DataFrame:
+        """Converts what is pending and returns one result row per document of ``docs``, with
+        the reason for those left out; the rows stay in ``results`` of the run.
+
+        With ``by_path`` the documents are files, as those of ``inbox.scan``: the tasks open
+        the pending ones themselves, so no other file is read again and no bytes are
+        shuffled. Without it they are rows of a table with their ``content``.
+        """
         version = self.ledger.next_version()
-        plan = cut_lineage(self.plan(docs), "plan")
-        pending = plan.where(F.col("action") == "process")
-        self._convert_new_contents(docs, pending, version)
-        results = cut_lineage(self._results(plan, pending, version), "results")
+        with scratch(self.spark):
+            plan = cut_lineage(self.plan(docs, by_path), "plan")
+            pending = plan.where(F.col("action") == "process")
+            self._convert_new_contents(docs, pending, version, by_path)
+            results = self._results(plan, pending, version)
+            results.write.mode("overwrite").parquet(self._results_of(version))
+        results = self.results(version)
         records = ledgers.build_records(results, run_at, version, self.options)
         self.ledger.append(records)
         return results
 
+    def convert_folder(self, folder: str, run_at: Column) -> DataFrame:
+        """Converts what is pending among the files below a folder."""
+        return self.convert(inbox.scan(self.spark, folder), run_at, by_path=True)
+
+    def results(self, version: int) -> DataFrame:
+        """The report of one run: a row per document."""
+        return self.spark.read.parquet(self._results_of(version))
+
+    def _results_of(self, version: int) -> str:
+        return f"{self.root}/results/run={version}"
+
     def status(self) -> DataFrame:
         return ledgers.status(self.ledger.read())
 
     def validate(self) -> DataFrame:
         """Findings; ``checks.summary`` makes one row of them.
 
+        Whether an output is there is asked by content, which is its key: names may be shared.
         Links are taken from the texts before anything is joined, and looked up once per
         content. Only the missing ones meet the records that share that content.
         """
         runs = self._runs()
         ledger = self.ledger.read()
         if runs is None:
-            nothing = self.spark.createDataFrame([], "output_md string, output_attachments string")
-            return checks.missing_outputs(ledger, nothing, nothing)
+            nothing = self.spark.createDataFrame(
+                [], "file_hash string, format string, output_attachments string")
+            return checks.missing_outputs(ledger, nothing, nothing, CONTENT)
         group = attachments_path(F.col("file_hash"), self.options)
-        content = ["file_hash", "format", "run"]
+        content = [*CONTENT, "run"]
         texts = runs.where(F.col("status") == "success")
         all_links = checks.image_links(texts, *content)
-        links = cut_lineage(self._current(all_links).select("file_hash", "ref"), "links")
+        links = cut_lineage(self._current(all_links).select(*CONTENT, "ref"), "links")
         names = texts.select(*content, F.explode("images.name").alias("name"))
         stored = self._current(names).select(F.concat(group, F.lit("/"), "name").alias("ref"))
-        missing = checks.dangling_refs(links, stored)
         current = self._current(texts.select(*content))
-        done = current.select("file_hash", group.alias("output_attachments")).distinct()
-        records = cut_lineage(
-            ledger.where("output_md <> ''").select("source_path", "file_hash", "output_md"),
-            "records")
-        present = lookup_join(records, done, ["file_hash"], "inner", "source_path")
-        dangling = lookup_join(
-            records, missing, ["file_hash"], "inner", "source_path").select("output_md", "ref")
-        return checks.missing_outputs(
-            ledger, present.select("output_md"), done
-        ).unionByName(checks.ref_findings(dangling.distinct()))
+        done = current.select(*CONTENT, group.alias("output_attachments")).distinct()
+        return checks.validate(ledger, done, links, done, stored, keys=CONTENT)
 
     # -- steps -------------------------------------------------------------
 
-    def _hashed(self, docs: DataFrame) -> DataFrame:
-        """Documents without their bytes, which are read again only for pending ones."""
-        return docs.select(
-            "path", "source_filename", "length", "format",
-            fingerprint(bounded_content(self.options)).alias("file_hash"))
+    def _hashed(self, docs: DataFrame, by_path: bool) -> DataFrame:
+        """Documents without their bytes, which are read again only for pending ones.
 
-    def _convert_new_contents(self, docs: DataFrame, pending: DataFrame, version: int) -> None:
+        Lengths are filters of the scan, so the bytes of documents above ``max_bytes`` are
+        not read. Spark's reader fails on files above its own limit; those are hashed by
+        their paths.
+        """
+        narrow = ["path", "source_filename", "length", "format"]
+        limit = self.options.max_bytes
+        wanted = docs if limit is None else docs.where(F.col("length") <= limit)
+        if by_path:
+            most = int(self.spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+            fits = wanted.where(F.col("length") <= most)
+            rest = wanted.where(F.col("length") > most).select(*narrow)
+            hashed = self._with_hash(fits, narrow).unionByName(hashed_by_path(rest))
+        else:
+            hashed = self._with_hash(wanted, narrow)
+        if limit is None:
+            return hashed
+        above = docs.where(F.col("length") > limit).select(
+            *narrow, F.lit(None).cast("string").alias("file_hash"))
+        return hashed.unionByName(above)
+
+    def _with_hash(self, docs: DataFrame, narrow: list[str]) -> DataFrame:
+        return docs.select(*narrow, fingerprint(F.col("content")).alias("file_hash"))
+
+    def _convert_new_contents(
+        self, docs: DataFrame, pending: DataFrame, version: int, by_path: bool
+    ) -> None:
         """Each distinct content is converted once, through one of its paths."""
-        chosen = pending.groupBy("file_hash", "format").agg(F.min("path").alias("path"))
-        bytes_of = docs.select("path", "length", bounded_content(self.options).alias("content"))
-        todo = bytes_of.join(chosen, "path")
-        converted = convert(todo, self.converters, self.options)
+        chosen = pending.where("file_hash is not null").groupBy("file_hash", "format").agg(
+            F.min("path").alias("path"), F.first("length").alias("length"))
+        if by_path:
+            chosen = cut_lineage(chosen, "chosen")
+            converted = convert_files(chosen, self.converters, self.options)
+        else:
+            todo = docs.select("path", "content").join(chosen, "path")
+            converted = convert(todo, self.converters, self.options, check_hash=True)
         converted.write.mode("overwrite").parquet(f"{self.root}/converted/run={version}")
 
     def _results(self, plan: DataFrame, pending: DataFrame, version: int) -> DataFrame:
@@ -138,21 +182,27 @@ class Workspace:
             F.lit("no content, or larger than the size limit").alias("error"))
         left_out = plan.where(F.col("action") != "process").select(
             *columns, F.lit("skipped").alias("status"),
-            F.when(F.col("action") == "unsupported", F.col("reason")).alias("error"))
+            F.when(F.col("action") == "unsupported", F.col("reason")).alias("error"),
+            F.col("reason"))
         everything = done.unionByName(oversized, allowMissingColumns=True).unionByName(
             left_out, allowMissingColumns=True)
         name = markdown_name(file_stem(F.col("path")), F.col("title"))
         return everything.select(
-            *columns, "status", "error",
+            *columns, "status", "error", "reason",
             F.when(F.col("status") == "success", name).alias("md_filename"),
             F.coalesce("image_count", F.lit(0)).alias("image_count"))
 
 
+EMPTY = "No documents found"
+
+
 def convert_folder(
     spark: SparkSession, folder: str, root: str, run_at: Column | None = None,
     options: Options = Options(), converters: Mapping[str, Converter] | None = None,
 ) -> DataFrame:
-    """Scan, convert and record a folder; the result is one row of counts."""
+    """Scan, convert and record a folder; the result is one row of counts, with a message if
+    there was nothing. ``Workspace.results`` has the rows per document."""
     workspace = Workspace(spark, root, options, converters)
     stamp = F.current_timestamp() if run_at is None else run_at
-    return ledgers.batch_stats(workspace.convert(inbox.scan(spark, folder), stamp))
+    counts = ledgers.batch_stats(workspace.convert_folder(folder, stamp))
+    return counts.withColumn("message", F.when(F.col("scanned") == 0, EMPTY))

@@ -43,11 +43,13 @@ def start_conversion(
 
 
 def start_ledger(records: DataFrame, store: LedgerStore, checkpoint: str) -> StreamingQuery:
-    """Upserts ledger rows. A batch writes the run named after it, so a batch that is
-    repeated after a failure replaces itself."""
+    """Upserts ledger rows. A batch writes the run named after the stream and the batch, so a
+    batch that is repeated after a failure replaces itself. The stream's id is in its
+    checkpoint: one that starts anew does not replace the runs of an earlier one."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        store.append(batch, name=f"{checkpoint}#{batch_id}")
+        stream = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+        store.append(batch, name=f"{stream}#{batch_id}")
 
     return (
         records.writeStream.foreachBatch(save)
@@ -66,7 +68,7 @@ def start_workspace(
     same content-addressed rows.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        workspace.convert(with_format(batch), run_at)
+        workspace.convert(with_format(batch), run_at, by_path=True)
 
     return (
         docs.writeStream.foreachBatch(run)

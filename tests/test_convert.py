@@ -7,7 +7,6 @@ from helpers import PICTURE, PNG, XHTML, book, docs, text_only, values
 from quire.functions.epub import read_epub, saved_names
 from quire.operators.convert import (
     attachments,
-    bounded_content,
     convert,
     convert_html,
     convert_text,
@@ -90,15 +89,23 @@ def test_each_format_goes_to_its_converter_and_errors_stay_rows(spark):
     assert rows["b.EPUB"]["md_filename"] is None and rows["d.html"]["md"] == "# T\n"
 
 
-def test_a_document_above_the_limit_fails_without_its_bytes(spark):
-    options = Options(max_bytes=3)
-    frame = docs(spark, {"/in/a.txt": b"abc", "/in/b.txt": b"abcd"}).withColumn(
-        "content", bounded_content(options))
-    done = convert(frame, {".txt": convert_text}, options)
+def test_a_document_without_bytes_fails(spark):
+    content = F.when(F.col("path") == "/in/a.txt", F.col("content"))
+    frame = docs(spark, {"/in/a.txt": b"abc", "/in/b.txt": b"abcd"}).withColumn("content", content)
+    done = convert(frame, {".txt": convert_text})
     assert values(done, "path", "status") == [("/in/a.txt", "success"), ("/in/b.txt", "failed")]
     assert "size limit" in done.where("status = 'failed'").first()["error"]
 
 
+def test_links_of_any_converter_follow_its_image_names(spark):
+    def with_picture(content):
+        return {"md": "![a](pic/a.png)", "images": [("pic/a.png", content)]}
+
+    row = convert(docs(spark, {"/in/a.txt": b"abc"}), {".txt": with_picture}).first()
+    assert row["md"] == f"![a](attachments/{row['hash_prefix']}/a.png)"
+    assert row["images"][0]["name"] == "a.png"
+
+
 def test_epub_items_as_rows(spark):
     found = epub_items(docs(spark, {"/in/a.epub": book(), "/in/b.epub": b"broken"}))
     assert values(found, "path", "item_pos", "name", "kind", F.length("body")) == [

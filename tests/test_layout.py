@@ -104,45 +104,33 @@ def test_names_as_one_after_the_other_would_choose(spark, seed):
 # -- digests -----------------------------------------------------------------------
 
 
-def digest(*parts):
-    return hashlib.sha256("".join(parts).encode()).hexdigest()
+def digest(files):
+    """The definition, in plain Python."""
+    sums, n = [0] * 8, 0
+    for path, name, size in files:
+        found = hashlib.sha256(f"{path}\0{name}\0{size}".encode()).digest()
+        sums = [s + int.from_bytes(found[4 * i:4 * i + 4]) for i, s in enumerate(sums)]
+        n += 1
+    return hashlib.sha256(",".join(map(str, [*sums, n])).encode()).hexdigest()
 
 
-def fingerprints(spark, rows, **more):
+def fingerprints(spark, rows):
     frame = spark.createDataFrame(rows, "g string, path string, name string, size long")
-    return dict(values(layout.group_fingerprint(frame, "g", "path", "name", "size", **more),
+    return dict(values(layout.group_fingerprint(frame, "g", "path", "name", "size"),
                        "g", "fingerprint"))
 
 
-def test_small_groups_are_digested_whole_in_path_order(spark):
-    rows = [("g", "g/b/x.md", "x.md", 3), ("g", "g/b.md", "b.md", 12), ("g", "g/a/z.md", "z.md", 1),
-            ("h", "h/q", "q", 0)]
-    expected = {"g": digest("z.md1", "x.md3", "b.md12"), "h": digest("q0")}
-    assert fingerprints(spark, rows) == expected
-
-
-def test_a_large_group_does_not_depend_on_how_it_is_spread(spark):
-    rows = [("g", f"g/{i}", f"{i}", i) for i in range(400)] + [("h", "h/1", "1", 1)]
-    pieces = {}
-    for _, path, name, size in rows[:400]:
-        spot = int(hashlib.sha256(path.encode()).hexdigest()[:8], 16)
-        pieces.setdefault((spot * 64) >> 32, []).append((path.split("/"), f"{name}{size}"))
-    whole = digest(*[digest(*[text for _, text in sorted(pieces[p])]) for p in sorted(pieces)])
-    for hot_rows in (100, 1_000_000):
-        assert fingerprints(spark, rows, leaf=8, hot_rows=hot_rows) == {"g": whole, "h": digest("11")}
-
-
-def test_more_pieces_than_one_node_holds(spark):
-    rows = [("g", f"g/{i}", f"{i}", i) for i in range(3000)]
-    pieces = {}
-    for _, path, name, size in rows:
-        spot = int(hashlib.sha256(path.encode()).hexdigest()[:8], 16)
-        pieces.setdefault((spot * 4096) >> 32, []).append((path.split("/"), f"{name}{size}"))
-    nodes = {}
-    for p in sorted(pieces):
-        nodes.setdefault(p // 1024, []).append(digest(*[t for _, t in sorted(pieces[p])]))
-    whole = digest(*[digest(*nodes[n]) for n in sorted(nodes)])
-    assert fingerprints(spark, rows, leaf=1) == {"g": whole}
+def test_the_digest_of_a_group_does_not_depend_on_order(spark):
+    files = [("b/x.md", "x.md", 3), ("b.md", "b.md", 12), ("a/z.md", "z.md", 1)]
+    rows = [("g", *f) for f in files] + [("h", "q", "q", 0)]
+    expected = {"g": digest(files), "h": digest([("q", "q", 0)])}
+    assert fingerprints(spark, rows) == fingerprints(spark, rows[::-1]) == expected
+
+
+@pytest.mark.parametrize("n", [4096, 4097, 10_000])
+def test_groups_of_all_sizes_have_one_definition(spark, n):
+    files = [(f"{i}.md", f"{i}.md", i) for i in range(n)]
+    assert fingerprints(spark, [("g", *f) for f in files]) == {"g": digest(files)}
 
 
 # -- building blocks ---------------------------------------------------------------

@@ -176,6 +176,24 @@ def test_store_appends_replaces_and_compacts(spark, tmp_path):
     assert values(store.read(), "source_path", "status") == [("/a", "success"), ("/b", "failed")]
 
 
+def test_a_named_run_that_a_snapshot_holds_can_be_repeated_with_other_rows(spark, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "ledger"))
+    store.append(ledger(spark, record("/a", "h", status="failed")), name="day 1")
+    store.compact()
+    store.append(ledger(spark, record("/a", "h"), record("/b", "k")), name="day 1")
+    assert values(store.read(), "source_path", "status") == [("/a", "success"), ("/b", "success")]
+
+
+def test_runs_are_merged_by_themselves(spark, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "ledger"), most_runs=3)
+    for i in range(9):
+        store.append(ledger(spark, record(f"/{i}", "h")))
+    assert len(store._live()) <= 4
+    assert values(store.read(), "source_path") == [(f"/{i}",) for i in range(9)]
+    kept = len(list((tmp_path / "ledger" / "runs").iterdir()))
+    assert kept < 9  # what the last snapshot but one covers is gone
+
+
 def test_a_run_without_its_commit_is_not_seen(spark, tmp_path):
     store = LedgerStore(spark, str(tmp_path / "ledger"))
     store.append(ledger(spark, record("/a", "h")))

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from helpers import book, text_only, values
 from quire.operators import validate as checks
-from quire.operators.convert import convert_html, convert_text, default_converters
+from quire.operators.convert import (
+    attachments,
+    convert_html,
+    convert_text,
+    default_converters,
+)
 from quire.operators.ledger import batch_stats
 from quire.options import Options
 from quire.plans.run import Workspace, convert_folder
@@ -19,6 +24,8 @@ from quire.sources.output_tree import (
     require_output,
 )
 from quire.sources.sinks import (
+    export_attachments,
+    export_markdown,
     read_attachments,
     read_markdown,
     read_stored_attachments,
@@ -136,12 +143,82 @@ def test_documents_above_the_limit_fail(spark, folder, tmp_path):
     assert rows["sub/c.txt"][0] == "success"
 
 
+def test_a_file_above_the_limit_of_the_reader_does_not_end_the_run(spark, folder, tmp_path):
+    setting = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(setting, 11)
+    try:
+        rows = outcome(workspace(spark, tmp_path).convert_folder(str(folder), F.lit(STAMP)))
+    finally:
+        spark.conf.unset(setting)
+    # tasks open the files themselves, so the limit of the reader is none of theirs
+    assert rows["a.epub"][0] == rows["sub/c.txt"][0] == "success"
+    assert rows["bad.epub"][0] == "failed"
+
+
+def test_no_bytes_are_shuffled_for_files(spark, folder, tmp_path):
+    from quire.operators.convert import convert_files
+
+    files = inbox.scan(spark, str(folder)).select(
+        "path", "format", "length", F.lit("h").alias("file_hash"))
+    plan = convert_files(files, CONVERTERS)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "content" not in plan
+
+
+def test_a_file_that_changed_since_the_plan_fails(spark, folder, tmp_path):
+    from quire.operators.convert import convert_files
+
+    files = inbox.scan(spark, str(folder)).where("format = '.txt'").select(
+        "path", "format", "length", F.lit("another").alias("file_hash"))
+    assert set(values(convert_files(files, CONVERTERS), "status", "error")) == {
+        ("failed", "changed during the run")}
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, folder, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr("quire.session.CHECKPOINT_CONF", "spark.not.set")
+    monkeypatch.setattr(
+        type(spark.sparkContext), "getCheckpointDir", lambda self: f"file:{shared}")
+    workspace(spark, tmp_path).convert_folder(str(folder), F.lit(STAMP))
+    assert not list(shared.iterdir())
+
+
+def test_a_lost_content_is_found_behind_another_of_its_name(spark, tmp_path):
+    inbox_dir = tmp_path / "inbox"
+    inbox_dir.mkdir()
+    (inbox_dir / "x.txt").write_bytes(b"here")
+    space = workspace(spark, tmp_path)
+    space.convert_folder(str(inbox_dir), F.lit(STAMP))
+    good = space.ledger.read()
+    space.ledger.append(good.withColumns(
+        {"source_path": F.lit("/y/x.txt"), "file_hash": F.lit("never converted")}))
+    found = space.validate()
+    assert values(found, "kind", "path") == [("missing_markdown", "x.md")]
+    assert not checks.summary(found, space.ledger.read()).first()["is_valid"]
+
+
+def test_files_for_people(spark, folder, tmp_path):
+    space = workspace(spark, tmp_path)
+    space.convert_folder(str(folder), F.lit(STAMP))
+    rows = space.results(1).select("path", "file_hash", "format", "md_filename")
+    texts = space.converted().select("file_hash", "format", "status", "md")
+    named = rows.join(texts, ["file_hash", "format"])
+    assert export_markdown(named, str(tmp_path / "export")).count() == 4
+    found = sorted(p.name for p in (tmp_path / "export").iterdir())
+    assert found == ["Test Book.md", "Text Only.md", "c.md", "copy.md"]
+    pictures = attachments(space.converted())
+    export_attachments(pictures, str(tmp_path / "export")).collect()
+    assert [p.name for p in (tmp_path / "export" / "attachments").glob("*/*")] == ["cover.png"]
+
+
 def test_one_call_for_a_folder(spark, folder, tmp_path):
     row = convert_folder(spark, str(folder), str(tmp_path / "o"), options=OPTIONS, converters=CONVERTERS)
-    assert row.first().asDict() == {"scanned": 6, "processed": 4, "skipped": 1, "failed": 1}
+    assert row.first().asDict() == {
+        "scanned": 6, "processed": 4, "skipped": 1, "failed": 1, "message": None}
     (tmp_path / "nothing").mkdir()
     none = convert_folder(spark, str(tmp_path / "nothing"), str(tmp_path / "p"))
-    assert none.first().asDict() == {"scanned": 0, "processed": 0, "skipped": 0, "failed": 0}
+    assert none.first().asDict() == {
+        "scanned": 0, "processed": 0, "skipped": 0, "failed": 0, "message": "No documents found"}
 
 
 def test_sinks(spark, folder, tmp_path):
@@ -208,6 +285,7 @@ def test_a_repeated_ledger_batch_changes_nothing(spark, folder, tmp_path):
         rows = spark.readStream.schema(space.ledger.read().schema).parquet(str(tmp_path / "rows"))
         start_ledger(rows, other.ledger, str(tmp_path / checkpoint)).awaitTermination()
     assert other.status().first().asDict() == space.status().first().asDict()
-    other.ledger.append(space.ledger.read(), name=f"{tmp_path / 'cp'}#0")
+    stream = (tmp_path / "cp" / "metadata").read_text().splitlines()[0]
+    other.ledger.append(space.ledger.read(), name=f"{stream}#0")
     assert other.status().first().asDict() == space.status().first().asDict()
     assert other.ledger.next_version() == 2

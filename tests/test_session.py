@@ -1,5 +1,7 @@
 """Where intermediate tables are written, and when a scan is spread."""
 
+import pytest
+
 from quire.operators.skew import cut_lineage
 from quire.session import shared_folder, spread
 
@@ -26,3 +28,11 @@ def test_only_short_scans_are_spread(spark, tmp_path):
     spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert spread(many, "id") is many
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr("quire.session.CHECKPOINT_CONF", "spark.not.set")
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://head:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(spark, "x")

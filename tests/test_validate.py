@@ -27,7 +27,7 @@ def inputs(spark):
 def test_findings(spark, hot_rows):
     ledger, texts, groups, there = inputs(spark)
     links = checks.image_links(texts, "output_md")
-    found = checks.validate(ledger, texts, links, groups, there, hot_rows)
+    found = checks.validate(ledger, texts, links, groups, there, hot_rows=hot_rows)
     assert values(found, "severity", "kind", "path", "ref") == sorted([
         ("error", "missing_markdown", "gone.md", "gone.md"),
         ("warning", "dangling_ref", "a.md", "attachments/h1/y.png"),
@@ -46,7 +46,7 @@ def test_links_are_taken_out_before_any_join(spark):
 
 def test_an_empty_ledger_is_a_warning(spark):
     ledger = spark.createDataFrame([], RECORDS)
-    none = spark.createDataFrame([], "severity string, kind string, path string, ref string")
+    none = spark.createDataFrame([], "severity string, kind string, path string, ref string, times long")
     assert checks.summary(none, ledger).first().asDict() == {
         "files_checked": 0, "errors": 0, "warnings": 1, "is_valid": True}
 
@@ -60,3 +60,17 @@ def test_a_text_named_by_many_records_is_reported_per_record_only_if_missing(spa
     groups = spark.createDataFrame([], "output_attachments string")
     found = checks.missing_outputs(ledger, texts, groups, hot_rows=10)
     assert values(found, "kind") == [("missing_attachments",)] * 50
+
+
+def test_a_link_used_twice_counts_twice_for_every_record_of_its_content(spark):
+    ledger = spark.createDataFrame([
+        ("/1", "h", "a.md", ""), ("/2", "h", "b.md", ""), ("/3", "gone", "a.md", "")], RECORDS)
+    links = spark.createDataFrame([("h", "x.png"), ("h", "x.png")], "file_hash string, ref string")
+    texts = spark.createDataFrame([("h",)], "file_hash string")
+    nothing = spark.createDataFrame([], "output_attachments string")
+    found = checks.validate(ledger, texts, links, nothing, spark.createDataFrame([], "ref string"),
+                            keys=["file_hash"])
+    assert values(found, "kind", "path", "times") == [
+        ("dangling_ref", "a.md", 2), ("dangling_ref", "b.md", 2), ("missing_markdown", "a.md", 1)]
+    summary = checks.summary(found, ledger).first()
+    assert (summary["errors"], summary["warnings"], summary["is_valid"]) == (1, 4, False)
