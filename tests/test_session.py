@@ -34,5 +34,5 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr("quire.session.CHECKPOINT_CONF", "spark.not.set")
     monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
     monkeypatch.setattr(spark.sparkContext, "master", "spark://head:7077")
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+    with pytest.raises(RuntimeError, match="all machines share"):
         shared_folder(spark, "x")
