@@ -289,7 +289,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = cut_lineage(
         asked.select("doc_id", "content", F.unhex("a").alias("asked")), "asked-runs")
     # rows that are there twice are fetched twice; their contexts count as repeated anyhow
-    fetched = _beside(texts, asked, "inner", _small(asked, "asked"))
+    fetched = _beside(texts, asked, "inner", False)
     bytes_of = fetched.select("text", "asked").mapInArrow(
         _fetch_stage(length),
         "gram long, context long, times int, lead int, data binary, skip int")
