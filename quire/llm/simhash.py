@@ -171,8 +171,11 @@ def simhash_digest(docs: DataFrame, every: int = 50) -> DataFrame:
     pairs = within(rows.where(asked), prints)
     counts = pairs.join(prints, "fingerprint").groupBy("query").agg(
         F.sum("documents").alias("n_within"))
-    joined = rows.withColumn("query", F.when(asked, F.col("fingerprint"))).join(
-        counts, "query", "left")
+    answered = rows.where(asked).withColumn("query", F.col("fingerprint")).join(
+        counts, "query", "left").drop("query")
+    others = rows.where(~F.coalesce(asked, F.lit(False))).withColumn(
+        "n_within", F.lit(None).cast("long"))
+    joined = answered.unionByName(others)
     name = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
     return joined.select(
         "doc_id", "n_chars", "edited_sha256", name("fingerprint"), name("edited_fingerprint"),
