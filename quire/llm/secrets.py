@@ -241,7 +241,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
         lambda x, i: F.substring(
             text, (F.coalesce(F.get(F.col("_cuts"), i - 1)["end"], F.lit(0)) + 1).cast("int"),
             (x["start"] - F.coalesce(F.get(F.col("_cuts"), i - 1)["end"], F.lit(0))).cast("int")))
-    last = F.element_at("_cuts", -1)["end"].cast("int") + 1
+    last = F.try_element_at("_cuts", F.lit(-1))["end"].cast("int") + 1
     tail = F.substring(text, last, F.length(text))
     clean = F.concat(F.array_join(F.concat(kept, F.array(tail)), mark))
     new = F.when(F.col("_id").isNull() & F.col("_content").isNull(), F.col("_row.text")).otherwise(

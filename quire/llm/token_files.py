@@ -120,7 +120,7 @@ def scan_separators(
     narrow = found.select(
         "file", "block", F.floor(F.col("block") / SUPER).alias("run"),
         F.size("marks").cast("long").alias("n"),
-        F.coalesce(F.element_at("marks", -1), none).alias("last"))
+        F.coalesce(F.try_element_at("marks", F.lit(-1)), none).alias("last"))
     inner = Window.partitionBy("file", "run").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
     outer = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
