@@ -19,6 +19,7 @@ from quire.llm import (
     token_files,
 )
 from quire.llm.common import documents
+from quire.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,4 +72,5 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
         op7_ngram_join, op8_quality, op9_chat, op10_repeats)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
