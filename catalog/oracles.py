@@ -473,6 +473,31 @@ SELECT 'inbox/' || page_id || '.html' AS path, sha256(html) AS file_hash, 'succe
   CAST(NULL AS VARCHAR) AS error, page_id || '.md' AS md_filename, 0 AS image_count
 FROM pages"""
 
+ORACLES["convert_run_documents"] = f"""
+WITH {_INBOX},
+run AS (
+  SELECT *, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'skipped'
+    WHEN strlen(text) % 7 = 0 THEN 'failed' ELSE 'success' END AS status FROM inbox)
+SELECT path, sha256(text) AS file_hash, status,
+  CASE status WHEN 'skipped' THEN 'Unsupported format: .odt' WHEN 'failed' THEN 'unreadable' END
+    AS error,
+  CASE status WHEN 'success' THEN doc_id || '.md' END AS md_filename,
+  CASE status WHEN 'skipped' THEN 'Unsupported format: .odt' END AS reason
+FROM run"""
+
+ORACLES["markdown_sink"] = f"""
+WITH {_INBOX},
+numbered AS (
+  SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY path) - 1 AS k FROM inbox)
+SELECT source || CASE WHEN k = 0 THEN '' ELSE '_' || k END || '.md' AS name,
+  sha256(text) AS content_hash
+FROM numbered"""
+
+ORACLES["attachment_sink"] = """
+SELECT 'attachments/' || left(sha256(text), 8) || '/' || doc_id || '.png' AS name,
+  sha256(text) AS content_hash
+FROM documents"""
+
 ORACLES["convert_run_again"] = """
 SELECT 'inbox/' || page_id || '.html' AS path, 'skip' AS action, 'Already converted' AS reason
 FROM pages"""

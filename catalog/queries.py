@@ -54,6 +54,7 @@ from quire.sources.ledger_store import LedgerStore
 from quire.sources.manifest import read_manifest, write_manifest
 from quire.sources.output_tree import output_folders
 from quire.sources.output_tree import output_markdown as markdown_of_tree
+from quire.sources.sinks import export_attachments, export_markdown
 from quire.streaming.ingest import start_conversion, start_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +509,36 @@ def orphan_outputs(spark, sf_dir):
     return layout.orphan_outputs(outputs, table(spark, sf_dir, "labels"), "doc_id")
 
 
+def _read_back(spark, folder, pattern):
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(
+        F.regexp_extract("path", pattern, 0).alias("name"),
+        F.sha2("content", 256).alias("content_hash"))
+
+
+@query
+def markdown_sink(spark, sf_dir):
+    """Texts written as files of one folder, many by the same name, and read back."""
+    folder = shared_folder(spark, "export")
+    rows = inbox(spark, sf_dir).select(
+        "path", F.concat("source", F.lit(".md")).alias("md_filename"), F.col("text").alias("md"),
+        F.lit("success").alias("status"))
+    cut_lineage(export_markdown(rows, folder), "exported")
+    return _read_back(spark, folder, "[^/]*$")
+
+
+@query
+def attachment_sink(spark, sf_dir):
+    """Images written below their hash prefix, and read back."""
+    folder = shared_folder(spark, "export")
+    rows = inbox(spark, sf_dir).select(
+        hash_prefix(F.col("file_hash")).alias("hash_prefix"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("name"),
+        F.col("text").cast("binary").alias("body"))
+    cut_lineage(export_attachments(rows, folder), "exported")
+    return _read_back(spark, folder, "attachments/[^/]*/[^/]*$")
+
+
 # -- validation --------------------------------------------------------------------
 
 
@@ -572,6 +603,21 @@ def convert_run(spark, sf_dir):
     return results.select("path", "file_hash", "status", "error", "md_filename", "image_count")
 
 
+@query
+def convert_run_documents(spark, sf_dir):
+    """A run over documents with copies, formats without support, and texts that fail."""
+    def picky(content):
+        if len(content) % 7 == 0:
+            raise ValueError("unreadable")
+        return convert_text(content)
+
+    docs = inbox(spark, sf_dir).withColumn("content", F.col("text").cast("binary"))
+    workspace = Workspace(
+        spark, shared_folder(spark, "workspace"), TEXT_OPTIONS, {".txt": picky, ".md": picky})
+    results = workspace.convert(docs, F.lit(RUN_AT))
+    return results.select("path", "file_hash", "status", "error", "md_filename", "reason")
+
+
 @query
 def convert_run_again(spark, sf_dir):
     """The plan after that run: nothing is left to do."""
