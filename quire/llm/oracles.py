@@ -157,3 +157,55 @@ said AS (
   FROM turns GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(replies) AS loss_chars,
   sha256(replies) AS loss_sha256, formatted_chars FROM said"""
+
+ORACLES["op7_ngram_join"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, {_WORDS} AS ws FROM d),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2]) END) AS g FROM w),
+sizes AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM grams a JOIN grams b USING (g)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * i >= 90 * (a.n + b.n - i)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM d
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id
+FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id, n"""
+
+ORACLES["op10_repeats"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n
+  FROM documents),
+pieces AS (
+  SELECT doc_id, n, p, substr(h, 400 * p + 1, 800) AS h
+  FROM (SELECT *, unnest(range(0, (n + 199) // 200)) AS p FROM d)),
+starts AS (SELECT doc_id, n, p, h, unnest(range(0, 200)) AS k FROM pieces),
+windows AS (
+  SELECT doc_id, 200 * p + k AS i,
+    count(*) OVER (PARTITION BY md5(substr(h, 2 * k + 1, 400))) AS times
+  FROM starts WHERE 200 * p + k <= n - 200),
+again AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new
+  FROM windows WHERE times > 1),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM again)
+  GROUP BY doc_id, run),
+edges AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(s.b), 0), any_value(n) FROM d LEFT JOIN spans s USING (doc_id)
+  GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h
+  FROM edges JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n - length(k.h) // 2 AS n_removed, count(s.a) AS n_spans,
+  sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN kept k USING (doc_id) LEFT JOIN spans s USING (doc_id) GROUP BY doc_id, n, k.h"""
