@@ -115,11 +115,11 @@ def _set_stage(words: int, part: int, whole: int, slots):
 
 
 def _meet_stage(part: int, whole: int):
-    """From rows sorted by (gram, n, node): an edge from every row of a run to its first.
+    """From rows sorted by (gram, n, brief): an edge from every row of a run to its first.
 
     A run ends with the n-gram, or where sizes are too far apart for any pair across.
     """
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, size, head = None, 0, None
@@ -139,7 +139,7 @@ def _meet_stage(part: int, whole: int):
             own = rest[~before]
             if len(carried):
                 yield pa.RecordBatch.from_arrays(
-                    [nodes.take(pa.array(carried)), pa.array([head] * len(carried), pa.binary())],
+                    [nodes.take(pa.array(carried)), pa.array([head] * len(carried), pa.int64())],
                     schema=schema)
             if len(own):
                 yield pa.RecordBatch.from_arrays(
@@ -151,16 +151,61 @@ def _meet_stage(part: int, whole: int):
     return stage
 
 
+def segment_signatures(grams: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """Signatures of which any two similar sets share one.
+
+    Sets of similar sizes differ in at most d n-grams. Cut the hash space into k > d
+    segments, and at least k - d segments are equal in both; the signature of a segment is
+    a hash of all n-grams in it. Sizes are dealt to classes, and a set also signs for the
+    next class where it is large enough for a set of that. Segments with few n-grams say
+    little, so a set leaves its smallest ones out, as long as those of up to w n-grams are
+    fewer than k - d. Of two similar sets, the one with the larger w has then an equal
+    segment above w, which the other one signs as well.
+    """
+    n, found, lowest, kind = len(grams), [], 1, 0
+    while True:
+        highest = max(lowest, lowest * 5 // 4)
+        if whole * n < part * lowest:
+            return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        if n <= highest:
+            d = (whole - part) * 2 * highest // (whole + part)
+            k = d + 1 + d // 4
+            segment = ((mixed(grams) >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+            segment = segment.astype(np.int64)
+            sums = np.zeros(k, np.uint64)
+            np.add.at(sums, segment, mixed(grams ^ np.uint64(0x5851F42D4C957F2D)))
+            held = np.bincount(segment, minlength=k)
+            smaller = np.cumsum(np.bincount(held))  # how many segments hold up to that many
+            signed = np.flatnonzero(held >= int(np.searchsorted(smaller, k - d)))
+            place = mixed(signed.astype(np.uint64) + np.uint64(kind << 32))
+            found.append(mixed(sums[signed] ^ place))
+        lowest, kind = highest + 1, kind + 1
+
+
+def _signature_stage(words: int, part: int, whole: int):
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(rows_of(batches), lambda row: len(row[1]), BATCH_BYTES):
+            sets = gram_sets([text for _, text in group], words)
+            for (brief, _), grams in zip(group, sets):
+                signs = segment_signatures(grams, part, whole)
+                yield pa.RecordBatch.from_pydict({
+                    "gram": signs.view(np.int64),
+                    "n": np.full(len(signs), len(grams), np.int32),
+                    "brief": np.full(len(signs), brief, np.int64)})
+
+    return stage
+
+
 def _gram_stage(words: int):
-    schema = pa.schema([
-        ("node", pa.binary()), ("component", pa.binary()), ("grams", pa.binary())])
+    names = ["key", "probe", "cluster", "node"]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(rows_of(batches), lambda row: len(row[2]), BATCH_BYTES):
-            sets = gram_sets([text for _, _, text in group], words)
-            yield pa.RecordBatch.from_pylist([
-                {"node": node, "component": component, "grams": grams.tobytes()}
-                for (node, component, _), grams in zip(group, sets)], schema)
+        for group in groups_of(rows_of(batches), lambda row: len(row[4]), BATCH_BYTES):
+            sets = gram_sets([row[4] for row in group], words)
+            columns = [pa.array([row[i] for row in group], kind) for i, kind in enumerate(
+                (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))]
+            grams = pa.array([grams.tobytes() for grams in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, grams], [*names, "grams"])
 
     return stage
 
@@ -214,7 +259,11 @@ def similar_sets(docs: DataFrame, words: int, part: int, whole: int) -> tuple[Da
        of their order (as many as the threshold lets two sets differ, and one). Nodes that
        share one, and have sizes that allow it, are joined by edges along each run of the
        sorted n-grams: a star, never all pairs. Its components hold all candidates.
-    3. The sets of a component meet in one task, in a trie (``trie.links``). A component of
+    3. Components of more than 512 sets, or of a million n-grams, are mostly held together
+       by passages that many different texts share. Their sets are cut into segments such
+       that similar sets have an equal one (``segment_signatures``), and only sets with an
+       equal segment stay together.
+    4. The sets of a component meet in one task, in a trie (``trie.links``). A component of
        more than 512 sets, or of a million n-grams, is cut into chunks, each with the
        component's first set: copies of one text are thereby connected in one pass over
        the chunks. What is then not connected with the first set is compared with every
@@ -228,73 +277,92 @@ def similar_sets(docs: DataFrame, words: int, part: int, whole: int) -> tuple[Da
             "doc_id long, content long, n long, node binary, prefix array<long>"),
         "gram-sets")
     some = rows.where("n > 0")
+    # brief stands for a node where nothing is lost if two nodes share it
     nodes = some.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = nodes.select(F.explode("prefix").alias("gram"), "n", "node")
-    sorted_rows = entries.repartition(width(docs.sparkSession), "gram").sortWithinPartitions(
-        "gram", "n", "node")
-    met = sorted_rows.mapInArrow(_meet_stage(part, whole), "a binary, b binary")
-    candidates = cut_lineage(components(met, "candidates"), "candidate-sets")
-    count = candidates.count()
-
-    chosen = some.select("doc_id", "content", "n", "node").join(
-        candidates.select(F.col("id").alias("_node"), "component"), F.col("node") == F.col("_node")
-    ).groupBy("node").agg(
-        F.min(F.struct("doc_id", "content")).alias("row"), F.first("component").alias("component"),
-        F.first("n").alias("n"))
-    # copies of one text under one doc_id are the same row here
-    wanted = cut_lineage(chosen.select(
+        F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    entries = nodes.select(
+        F.explode("prefix").alias("gram"), "n", F.xxhash64("node").alias("brief"))
+
+    def together(rows: DataFrame) -> DataFrame:
+        """Components of the nodes that share a gram of ``rows(gram, n, brief)``."""
+        ordered = rows.repartition(width(docs.sparkSession), "gram").sortWithinPartitions(
+            "gram", "n", "brief")
+        met = ordered.mapInArrow(_meet_stage(part, whole), "a long, b long")
+        return components(met, "candidates").select(F.col("id").alias("_brief"), "component")
+
+    candidates = together(entries)
+
+    chosen = some.groupBy("node").agg(
+        F.min(F.struct("doc_id", "content")).alias("row"), F.first("n").alias("n"))
+    briefed = chosen.withColumn("brief", F.xxhash64("node")).join(
+        candidates, F.col("brief") == F.col("_brief"))
+    wanted = cut_lineage(briefed.select(
         F.col("row.doc_id").alias("_id"), F.col("row.content").alias("_content"), "node",
         "component", "n"), "wanted-sets")
-    found = matched(
-        texts, wanted, F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.xxhash64("text") == F.col("_content")), "inner", count)
-    sets = cut_lineage(found.select("node", "component", "text").mapInArrow(
-        _gram_stage(words), "node binary, component binary, grams binary"), "grams")
-    sizes = wanted.groupBy("component").agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n").alias("grams_in_all"))
+
+    def text_of_sets(rows: DataFrame) -> DataFrame:
+        return matched(
+            texts, rows, F.col("doc_id").eqNullSafe(F.col("_id"))
+            & (F.xxhash64("text") == F.col("_content")), "inner", rows.count())
+
     pieces = F.greatest(
-        F.ceil(F.col("m") / CHUNK_SETS), F.ceil(F.col("grams_in_all") / CHUNK_GRAMS)).cast("int")
-    sized = sets.dropDuplicates(["node"]).join(
-        sizes.select("component", pieces.alias("chunks")), "component")
-    sized = cut_lineage(sized, "sized-sets")
+        F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int")
+
+    def sized_sets(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("component").agg(
+            pieces.alias("chunks"), F.min("node").alias("first"))
+        return cut_lineage(rows.join(sizes, "component"), "sized-sets")
+
+    sized = sized_sets(wanted)
+    loose = sized.where("chunks > 1").select("_id", "_content", "node", "n")
+    if not loose.isEmpty():
+        rows_here = loose.withColumn("brief", F.xxhash64("node"))
+        signs = text_of_sets(rows_here).select("brief", "text").mapInArrow(
+            _signature_stage(words, part, whole), "gram long, n int, brief long")
+        closer = rows_here.join(together(signs), F.col("brief") == F.col("_brief"))
+        kept = sized.where("chunks = 1").select(*wanted.columns)
+        sized = sized_sets(cut_lineage(
+            kept.unionByName(closer.select(*wanted.columns)), "closer-sets"))
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        """The rows with the n-grams of their texts. Texts are hashed anew, not kept."""
+        return text_of_sets(rows).select("key", "probe", "cluster", "node", "text").mapInArrow(
+            _gram_stage(words),
+            "key long, probe boolean, cluster binary, node binary, grams binary")
 
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
     dealt = sized.withColumn("chunk", F.explode(
-        F.when(F.col("node") == F.col("component"), everywhere).otherwise(F.array(own))))
-    key = F.struct("component", "chunk")
-    inside = cut_lineage(_linked(dealt.select(
-        F.xxhash64(key).alias("key"), F.lit(False).alias("probe"), F.col("node").alias("cluster"),
-        "node", "grams"), part, whole), "links")
+        F.when(F.col("node") == F.col("first"), everywhere).otherwise(F.array(own))))
+    inside = cut_lineage(_linked(sets_of(dealt.select(
+        "_id", "_content", F.xxhash64("component", "chunk").alias("key"),
+        F.lit(False).alias("probe"), F.col("node").alias("cluster"), "node")), part, whole),
+        "links")
 
     large = sized.where("chunks > 1")
     if not large.isEmpty():
         joined = components(inside, "clusters").select(F.col("id").alias("_n"), "component")
-        first = large.where("node = component").select(F.col("node").alias("_n")).join(
-            joined, "_n", "left").select(
-            F.col("_n").alias("_first"), F.coalesce("component", "_n").alias("_cluster"))
-        labelled = large.join(
-            joined.withColumnRenamed("component", "cluster"), F.col("node") == F.col("_n"), "left"
-        ).withColumn("cluster", F.coalesce("cluster", "node")).join(
-            first, F.col("component") == F.col("_first"))
-        labelled = cut_lineage(labelled.select(
-            "component", "chunks", "node", "cluster", "grams",
-            (F.col("cluster") != F.col("_cluster")).alias("apart")), "labelled-sets")
-        apart = labelled.where("apart")
+        named = joined.withColumnRenamed("component", "cluster")
+        labelled = cut_lineage(large.join(named, F.col("node") == F.col("_n"), "left").select(
+            "_id", "_content", "component", "chunks", "node", "first",
+            F.coalesce("cluster", "node").alias("cluster")), "labelled-sets")
+        firsts = labelled.where("node = first").select(
+            F.col("component").alias("_component"), F.col("cluster").alias("_cluster"))
+        marked = labelled.join(firsts, F.col("component") == F.col("_component"))
+        apart = cut_lineage(marked.where("cluster <> _cluster").select(
+            *labelled.columns), "sets-apart")
         blocks = apart.groupBy("component").agg(
             F.ceil(F.count(F.lit(1)) / CHUNK_SETS).cast("int").alias("blocks"))
-        index = labelled.join(blocks, "component").select(
-            "component", own.alias("chunk"),
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-            F.lit(False).alias("probe"), "cluster", "node", "grams")
-        probes = apart.join(blocks, "component").select(
-            "component", F.explode(everywhere).alias("chunk"),
-            F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-            F.lit(True).alias("probe"), "cluster", "node", "grams")
-        crossed = index.unionByName(probes).withColumn(
-            "key", F.xxhash64("component", "chunk", "block"))
-        inside = inside.unionAll(_linked(crossed, part, whole))
+        columns = ["_id", "_content", F.xxhash64("component", "chunk", "block").alias("key"),
+                   "probe", "cluster", "node"]
+        index = labelled.join(blocks, "component").withColumns({
+            "chunk": own, "probe": F.lit(False),
+            "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).select(*columns)
+        probes = apart.join(blocks, "component").withColumns({
+            "chunk": F.explode(everywhere), "probe": F.lit(True),
+            "block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")}).select(*columns)
+        crossed = cut_lineage(index.unionByName(probes), "crossed-sets")
+        inside = inside.unionAll(_linked(sets_of(crossed), part, whole))
     groups = components(inside, "similar").select(
         F.col("id").alias("node"), F.col("component").alias("group"))
     return rows.select("doc_id", "content", "n", "node"), groups
