@@ -5,10 +5,10 @@ import re
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 from check import compare, connect
 
-QUERIES = queries()
-
 
 @pytest.fixture(scope="module")
 def database():
@@ -16,7 +16,8 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(QUERIES)
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -25,7 +26,7 @@ def test_query(spark, sf_dir, database, name):
     plan = plan_of(frame)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     ours = frame.toPandas()
-    assert compare(name, ours, database.sql(oracle_sql()[name]).df()) == ""
+    assert compare(name, ours, database.sql(ORACLES[name]).df()) == ""
 
 
 def test_entry(spark):
