@@ -49,16 +49,37 @@ def split_words(text: str) -> list[str]:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b""
+    """Numbers compressed: how many bytes each takes, then byte by byte, those of numbers of
+    one, two and four bytes apart, as each kind has a distribution of its own."""
+    values = values.astype("<u4")
+    kind = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF)
+    planes = [kind.tobytes()]
+    for size, k in ((1, 0), (2, 1), (4, 2)):
+        some = values[kind == k].view(np.uint8).reshape(-1, 4)
+        planes += [some[:, i].tobytes() for i in range(size)]
+    parts = []
+    for plane in planes:
+        data = pa.compress(plane, "zstd", asbytes=True) if plane else b""
+        parts += [len(plane).to_bytes(8, "little"), len(data).to_bytes(8, "little"), data]
+    return b"".join(parts)
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint32)
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(-1)
+    planes, at = [], 0
+    while at < len(data):
+        size, packed = (int.from_bytes(data[at + i:at + i + 8], "little") for i in (0, 8))
+        at += 16
+        plane = pa.decompress(data[at:at + packed], size, "zstd", asbytes=True) if size else b""
+        planes.append(np.frombuffer(plane, np.uint8))
+        at += packed
+    values, first = np.zeros(n, np.uint32), 1
+    for size, k in ((1, 0), (2, 1), (4, 2)):
+        some = np.zeros(len(planes[first]), np.uint32)
+        for i in range(size):
+            some |= planes[first + i].astype(np.uint32) << np.uint32(8 * i)
+        values[planes[0] == k] = some
+        first += size
+    return values
 
 
 def _framed(*arrays: np.ndarray) -> bytes:
@@ -97,7 +118,13 @@ def _word_stage(buckets: int, block_bytes: int):
                 lengths.append(len(words))
                 codes.append(np.fromiter(
                     (table.setdefault(w, len(table)) for w in words), np.uint32, len(words)))
-            words = [w.encode() for w in table]
+            whole = np.concatenate(codes)
+            often = np.argsort(-np.bincount(whole, minlength=len(table)), kind="stable")
+            rank = np.empty(len(table), np.uint32)
+            rank[often] = np.arange(len(table))
+            whole = rank[whole]  # frequent words have small numbers, which pack well
+            known = [w.encode() for w in table]
+            words = [known[i] for i in often.tolist()]
             table.clear()
             bucket_of = np.fromiter(
                 (zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
@@ -106,7 +133,7 @@ def _word_stage(buckets: int, block_bytes: int):
             row = {
                 "block": block, "bucket": -1, "doc_ids": json.dumps(ids).encode(),
                 "codes": _framed(
-                    bucket_of, np.array(lengths, np.uint32), np.concatenate(codes))}
+                    bucket_of, np.array(lengths, np.uint32), whole)}
             yield pa.RecordBatch.from_pylist([row], schema)
             at, rows = 0, []
             for bucket in np.flatnonzero(counts).tolist():

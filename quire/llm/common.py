@@ -79,10 +79,11 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         large = both.join(low, "hi").where("lo > hi").select(
             F.col("lo").alias("hi"), F.col("m").alias("lo"))
         large = large.where("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo <> m").select(
-            F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        after = least.select("hi", F.col("m").alias("lo")).unionAll(small).distinct()
+        # after the large star a node has one smaller neighbour per component it touches
+        least = large.withColumn("m", F.min("lo").over(Window.partitionBy("hi")))
+        after = least.select(
+            F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
+            F.col("m").alias("lo")).distinct()
         current = cut_lineage(after, label)
         state = current.agg(
             F.count(F.lit(1)).alias("n"),
