@@ -24,7 +24,7 @@ PATTERNS = {
 }
 # A text without a match of these has no find of the kind.
 GUARDS = {
-    "assign": r"""(?i:passw|secret|token|api_?key)[^:=]{0,2}\x20*[:=]""",
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
     "access": r"AKIA[A-Z0-9]{14}",
     "hex": r"[0-9a-f]{16}",
     "key_id": r"[A-Z0-9]{16}",

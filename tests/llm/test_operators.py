@@ -224,6 +224,20 @@ def test_base_finds_are_those_of_the_patterns(spark):
     assert secrets.secret_digest(frame.limit(0)).count() == 0
 
 
+def test_every_assignment_is_found_alone_in_its_text(spark):
+    texts = [f"{w}{rest}" for word in ("password", "passwd", "secret", "token", "apikey", "api_key")
+             for w in (word, word.upper(), word.title()) for rest in (
+        "=abcdefghijkl1", ": \"abcdefghijkl\"", " = abcdefghijkl1", "\" : \"abcdefghijkl\"",
+        "'   = 'abcdefghijkl'")]
+    frame = spark.createDataFrame(
+        [(i, text, len(text)) for i, text in enumerate(texts)],
+        "doc_id long, text string, n_chars long")
+    found = secrets.secret_digest(frame)
+    assert collected(found, "doc_id", "n_assign", "base_sha256") == sorted(
+        [(i, 1, sha(base(text))) for i, text in enumerate(texts)], key=repr)
+    assert all("abcdefghijkl" not in text for text, in collected(secrets.redact(frame), "text"))
+
+
 def test_weak_finds_need_their_other_half(spark):
     key, value = "ZQXJ5K2LM8N4P6R7T9WB", "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cE1gI3kM5oQ7s"
     texts = [f"id {key} key {value} at https://s3.example.com/b", f"id {key} alone",
