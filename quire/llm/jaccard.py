@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.llm.arrow import groups_of, rows_of
 from quire.llm.common import components, matched, text_of, width
 from quire.llm.hashing import mixed, shingle_hashes, word_hashes
-from quire.llm.trie import links
+from quire.llm.trie import link_counts, links
 from quire.operators.skew import cut_lineage
 
 SLOTS = 1 << 20
@@ -196,16 +196,21 @@ def _signature_stage(words: int, part: int, whole: int):
     return stage
 
 
-def _gram_stage(words: int):
-    names = ["key", "probe", "cluster", "node"]
+LINK_COLUMNS = {
+    "key": pa.int64(), "probe": pa.bool_(), "cluster": pa.binary(), "node": pa.binary()}
+COUNT_COLUMNS = {"component": pa.int64(), "chunks": pa.int32(), "node": pa.binary()}
+
+
+def _gram_stage(words: int, kinds: dict[str, pa.DataType]):
+    """Rows of these columns and a text become rows of them and the n-grams."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(rows_of(batches), lambda row: len(row[4]), BATCH_BYTES):
-            sets = gram_sets([row[4] for row in group], words)
-            columns = [pa.array([row[i] for row in group], kind) for i, kind in enumerate(
-                (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))]
+        for group in groups_of(rows_of(batches), lambda row: len(row[-1]), BATCH_BYTES):
+            sets = gram_sets([row[-1] for row in group], words)
+            columns = [pa.array([row[i] for row in group], kind)
+                       for i, kind in enumerate(kinds.values())]
             grams = pa.array([grams.tobytes() for grams in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, grams], [*names, "grams"])
+            yield pa.RecordBatch.from_arrays([*columns, grams], [*kinds, "grams"])
 
     return stage
 
@@ -240,6 +245,33 @@ def _link_stage(part: int, whole: int):
     return stage
 
 
+def _number_stage(part: int, whole: int):
+    """Numbers of similar sets within each group; groups come one after the other. A row is
+    (key, cross, probe, node, grams); in a group that is cross, only pairs of a probe with
+    another set count. Rows of one node are one set."""
+    schema = pa.schema([("node", pa.binary()), ("n", pa.int64())])
+
+    def found(cross: bool, group: dict[bytes, tuple]) -> pa.RecordBatch:
+        sets = [np.frombuffer(row[4], np.uint64) for row in group.values()]
+        probes = [i for i, row in enumerate(group.values()) if row[2]] if cross else None
+        counts = link_counts(sets, part, whole, probes)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(group, pa.binary()), pa.array(counts, pa.int64())], schema=schema)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cross, group = None, False, {}
+        for row in rows_of(batches):
+            if group and row[0] != key:
+                yield found(cross, group)
+                group = {}
+            key, cross = row[:2]
+            group[row[3]] = row
+        if group:
+            yield found(cross, group)
+
+    return stage
+
+
 def _linked(rows: DataFrame, part: int, whole: int) -> DataFrame:
     """Edges of ``rows(key, probe, cluster, node, grams)``, grouped by key."""
     parts = width(rows.sparkSession)
@@ -248,10 +280,13 @@ def _linked(rows: DataFrame, part: int, whole: int) -> DataFrame:
     return dealt.mapInArrow(_link_stage(part, whole), "a binary, b binary")
 
 
-def similar_sets(docs: DataFrame, words: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """``(rows, groups)``: ``rows(doc_id, content, n, node)`` has every row of
+def similar_sets(
+    docs: DataFrame, words: int, part: int, whole: int, count: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``(rows, groups, counts)``: ``rows(doc_id, content, n, node)`` has every row of
     ``docs(doc_id, text)`` with the digest of its n-gram set, and ``groups(node, group)``
-    the sets that links connect with others.
+    the sets that links connect with others. With ``count``, ``counts(node, n_links)`` has
+    the number of different sets that each set with a candidate is similar to, else it is None.
 
     1. N-grams are counted over all documents, in slots. That gives one order of all
        n-grams, rare before frequent, so that common passages come last.
@@ -267,7 +302,11 @@ def similar_sets(docs: DataFrame, words: int, part: int, whole: int) -> tuple[Da
        more than 512 sets, or of a million n-grams, is cut into chunks, each with the
        component's first set: copies of one text are thereby connected in one pass over
        the chunks. What is then not connected with the first set is compared with every
-       chunk, so no pair that could matter is left out.
+       chunk, so no pair that could connect more sets is left out. This finds what is
+       connected, not every link.
+    5. With ``count``, every chunk of a component meets every chunk, itself included, and
+       all pairs are looked at (``trie.link_counts``). That costs the square of a
+       component's chunks; only numbers leave the tasks.
     """
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     slots = docs.sparkSession.sparkContext.broadcast(gram_counts(texts, words))  # 8 MB
@@ -327,7 +366,7 @@ def similar_sets(docs: DataFrame, words: int, part: int, whole: int) -> tuple[Da
     def sets_of(rows: DataFrame) -> DataFrame:
         """The rows with the n-grams of their texts. Texts are hashed anew, not kept."""
         return text_of_sets(rows).select("key", "probe", "cluster", "node", "text").mapInArrow(
-            _gram_stage(words),
+            _gram_stage(words, LINK_COLUMNS),
             "key long, probe boolean, cluster binary, node binary, grams binary")
 
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -365,19 +404,40 @@ def similar_sets(docs: DataFrame, words: int, part: int, whole: int) -> tuple[Da
         inside = inside.unionAll(_linked(sets_of(crossed), part, whole))
     groups = components(inside, "similar").select(
         F.col("id").alias("node"), F.col("component").alias("group"))
-    return rows.select("doc_id", "content", "n", "node"), groups
-
-
-def _with_groups(rows: DataFrame, groups: DataFrame, least: Column) -> DataFrame:
-    """``rows`` with the least row of each one's group."""
+    counts = None
+    if count:
+        grams = text_of_sets(sized).select(*COUNT_COLUMNS, "text").mapInArrow(
+            _gram_stage(words, COUNT_COLUMNS),
+            "component long, chunks int, node binary, grams binary")
+        own, other = F.col("own"), F.col("other")
+        met = grams.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        met = met.withColumn("other", F.explode(everywhere)).select(
+            F.xxhash64("component", F.least(own, other), F.greatest(own, other)).alias("key"),
+            (own != other).alias("cross"), (own < other).alias("probe"), "node", "grams")
+        dealt = met.repartition(width(docs.sparkSession), "key").sortWithinPartitions("key")
+        numbers = dealt.mapInArrow(_number_stage(part, whole), "node binary, n long")
+        counts = cut_lineage(numbers.groupBy("node").agg(F.sum("n").alias("n_links")), "link-counts")
+    return rows.select("doc_id", "content", "n", "node"), groups, counts
+
+
+def _with_groups(
+    rows: DataFrame, groups: DataFrame, least: Column, counts: DataFrame | None = None
+) -> DataFrame:
+    """``rows`` with the least row of each one's group; with ``counts``, also with the least
+    row of the same set (``first``) and the number of its links."""
     firsts = rows.groupBy("node").agg(F.min(least).alias("first"))
     named = groups.select(F.col("node").alias("_node"), "group")
     grouped = firsts.join(named, F.col("node") == F.col("_node"), "left").select(
         "node", "first", F.coalesce("group", "node").alias("group"))
     of_group = grouped.groupBy("group").agg(F.min("first").alias("least"))
     of_node = cut_lineage(
-        grouped.join(of_group, "group").select(F.col("node").alias("_node"), "least"),
+        grouped.join(of_group, "group").select(
+            F.col("node").alias("_node"), "least", *(["first"] if counts is not None else [])),
         "group-names")
+    if counts is not None:
+        named = counts.select(F.col("node").alias("_counted"), "n_links")
+        of_node = of_node.join(named, F.col("_node") == F.col("_counted"), "left").select(
+            "_node", "least", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return rows.join(of_node, F.col("node") == F.col("_node")).drop("_node")
 
 
@@ -392,7 +452,7 @@ def near_duplicates(
     and link with nothing. Repeated rows are equal sets. Other columns are ignored; a table
     without rows gives none.
     """
-    rows, groups = similar_sets(docs, words, part, whole)
+    rows, groups, _ = similar_sets(docs, words, part, whole)
     linked = _with_groups(rows.where("n > 0"), groups, F.struct("doc_id", "content"))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
                                        F.col("doc_id").alias("component_id"))
@@ -401,10 +461,27 @@ def near_duplicates(
         F.col("least.doc_id").alias("component_id")).unionByName(alone)
 
 
+def near_links(
+    docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, class_id, n_links`` for every row, as in
+    ``near_duplicates``: class_id is the smallest doc_id with the same set of n-grams, and
+    n_links the number of all other different sets that link with this one."""
+    rows, groups, counts = similar_sets(docs, words, part, whole, count=True)
+    linked = _with_groups(rows.where("n > 0"), groups, F.struct("doc_id", "content"), counts)
+    size = F.col("n").alias("n_shingles")
+    alone = rows.where("n = 0").select(
+        "doc_id", size, F.col("doc_id").alias("component_id"),
+        F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.select(
+        "doc_id", size, F.col("least.doc_id").alias("component_id"),
+        F.col("first.doc_id").alias("class_id"), "n_links").unionByName(alone)
+
+
 def keep_first(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest doc_id,
     and all columns. Rows without words stay."""
-    rows, groups = similar_sets(docs, words, part, whole)
+    rows, groups, _ = similar_sets(docs, words, part, whole)
     linked = _with_groups(rows.where("n > 0"), groups, F.struct("doc_id", "content"))
     mine = F.struct("doc_id", "content")
     goes = linked.where(mine != F.col("least")).select(

@@ -180,6 +180,20 @@ reached AS (
 SELECT doc_id, n AS n_shingles, min(other) AS component_id
 FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id, n"""
 
+# The same components, and all links between different sets of n-grams.
+ORACLES["op7_ngram_links"] = ORACLES["op7_ngram_join"].split("\nSELECT doc_id, n AS")[0] + """,
+sets AS (SELECT doc_id, list(g ORDER BY g) AS s FROM grams GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM sets),
+found AS (
+  SELECT doc_id, n AS n_shingles, min(other) AS component_id
+  FROM sizes JOIN reached USING (doc_id) GROUP BY doc_id, n),
+counted AS (
+  SELECT a.doc_id, count(DISTINCT b.class_id) FILTER (b.class_id <> a.class_id) AS n_links
+  FROM links JOIN classes a ON a.doc_id = x JOIN classes b ON b.doc_id = y GROUP BY a.doc_id)
+SELECT doc_id, n_shingles, component_id, coalesce(class_id, doc_id) AS class_id,
+  coalesce(n_links, 0) AS n_links
+FROM found LEFT JOIN classes USING (doc_id) LEFT JOIN counted USING (doc_id)"""
+
 ORACLES["op10_repeats"] = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n

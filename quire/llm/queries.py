@@ -52,6 +52,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), words=3, part=90)
 
 
+def op7_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_links(documents(spark, sf_dir), words=3, part=90)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -71,6 +75,6 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
-        op7_ngram_join, op8_quality, op9_chat, op10_repeats)}
+        op7_ngram_join, op7_ngram_links, op8_quality, op9_chat, op10_repeats)}
 
 __all__ = ["ORACLES", "QUERIES"]

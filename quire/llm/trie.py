@@ -57,6 +57,21 @@ def needed(x: int, y: int, part: int, whole: int) -> int:
     return -(-part * (x + y) // (part + whole))
 
 
+def _in_order(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets as ranks, sorted, the frequent numbers first, and how many numbers there are."""
+    every = np.concatenate(sets)
+    values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, -counts))] = np.arange(len(values))
+    bounds = np.cumsum([len(s) for s in sets])
+    return [np.sort(part) for part in np.split(rank[inverse], bounds[:-1])], len(values)
+
+
+def _by_key(ordered: list[np.ndarray]) -> list[int]:
+    keys = [s.astype(">u4").tobytes() for s in ordered]
+    return sorted(range(len(ordered)), key=keys.__getitem__)
+
+
 def links(
     sets: list[np.ndarray], part: int, whole: int,
     labels: np.ndarray | None = None, probes: list[int] | None = None,
@@ -72,19 +87,12 @@ def links(
     """
     if len(sets) < 2:
         return []
-    every = np.concatenate(sets)
-    values, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.lexsort((values, -counts))] = np.arange(len(values))
-    bounds = np.cumsum([len(s) for s in sets])
-    ordered = [np.sort(part_) for part_ in np.split(rank[inverse], bounds[:-1])]
-    keys = [s.astype(">u4").tobytes() for s in ordered]
-    by_key = sorted(range(len(sets)), key=keys.__getitem__)
+    ordered, size = _in_order(sets)
+    by_key = _by_key(ordered)
     ordered = [ordered[i] for i in by_key]
-    del keys, every, inverse
     label = np.arange(len(sets)) if labels is None else np.asarray(labels)[by_key].copy()
     place = {old: new for new, old in enumerate(by_key)}
-    root, mark, found = _build(ordered), np.zeros(len(values), bool), []
+    root, mark, found = _build(ordered), np.zeros(size, bool), []
     for x in range(len(sets)) if probes is None else [place[p] for p in probes]:
         probe = ordered[x]
         mark[probe] = True
@@ -110,3 +118,55 @@ def links(
             waiting += [(child, overlap) for child in node.below]
         mark[probe] = False
     return found
+
+
+def link_counts(
+    sets: list[np.ndarray], part: int, whole: int, probes: list[int] | None = None
+) -> np.ndarray:
+    """How many of the others each set is similar to, whatever is connected already.
+
+    ``sets`` are different, not empty, and have distinct numbers each. With ``probes``, only
+    pairs of one of those with one of the others count. The other sets are put into the
+    trie of ``links``; a probe's overlaps with all its runs are taken at once and summed up
+    along the paths, level by level, so a run that many sets share is looked at once. No
+    branch is left out.
+    """
+    counts = np.zeros(len(sets), np.int64)
+    asked = list(range(len(sets))) if probes is None else probes
+    aside = set() if probes is None else set(probes)
+    inside = [i for i in range(len(sets)) if i not in aside]
+    if not asked or not inside:
+        return counts
+    ordered, size = _in_order(sets)
+    by_key = [inside[i] for i in _by_key([ordered[i] for i in inside])]
+    levels, parents = [[_build([ordered[i] for i in by_key])]], [np.zeros(1, np.int64)]
+    while any(node.below for node in levels[-1]):
+        parents.append(np.repeat(
+            np.arange(len(levels[-1])), [len(node.below) for node in levels[-1]]))
+        levels.append([child for node in levels[-1] for child in node.below])
+    nodes = [node for level in levels for node in level]
+    runs = np.concatenate([node.run for node in nodes])
+    ends = np.cumsum([len(node.run) for node in nodes])
+    starts = ends - [len(node.run) for node in nodes]
+    firsts = np.cumsum([0, *map(len, levels)])
+    whose = np.repeat(np.arange(len(nodes)), [node.own - node.lo for node in nodes])
+    which = np.concatenate([np.arange(node.lo, node.own) for node in nodes])
+    sizes = np.array([node.end for node in nodes])[whose]
+    places = np.array(by_key)[which]
+    mark, sums = np.zeros(size, bool), np.zeros(len(runs) + 1, np.int32)
+    for x in asked:
+        probe = ordered[x]
+        mark[probe] = True
+        np.cumsum(mark[runs], out=sums[1:])
+        mark[probe] = False
+        overlap = sums[ends] - sums[starts]
+        for depth in range(1, len(levels)):
+            above = overlap[firsts[depth - 1]:firsts[depth]]
+            overlap[firsts[depth]:firsts[depth + 1]] += above[parents[depth]]
+        similar = places[overlap[whose] >= needed(len(probe), sizes, part, whole)]
+        if probes is None:
+            counts[x] = len(similar) - 1  # without itself
+        else:
+            counts[x] += len(similar)
+            counts[similar] += 1
+    return counts

@@ -72,6 +72,35 @@ def test_large_groups_in_chunks_lose_no_link(spark, monkeypatch):
     assert result(spark, rows, 3, 90) == expected(rows, 3, 90)
 
 
+def all_links(rows, words, part, whole=100):
+    sets = [frozenset(grams(text, words)) for _, text in rows]
+    links = {s: sum(1 for t in {*sets} if t and t != s and whole * len(s & t) >= part * len(s | t))
+             for s in {*sets} if s}
+    least = {}
+    for (doc_id, _), s in zip(rows, sets):
+        least[s] = min(least.get(s, doc_id), doc_id)
+    return sorted((doc_id, least[s] if s else doc_id, links.get(s, 0))
+                  for (doc_id, _), s in zip(rows, sets))
+
+
+@pytest.mark.parametrize("chunk", [2, 512])
+def test_every_link_between_different_sets_is_counted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    draw = random.Random(2)
+    rows = corpus(4)
+    words = [f"v{i}" for i in range(120)]
+    for _ in range(30):
+        copy = list(words)
+        copy[0], copy[draw.randrange(1, 120)] = f"y{draw.randrange(20)}", "x"
+        rows.append((len(rows) + 100, " ".join(copy)))
+    found = jaccard.near_links(spark.createDataFrame(rows, DOCS), 3, 90).collect()
+    want = all_links(rows, 3, 90)
+    assert max(n for *_, n in want) > 5
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found) == want
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == expected(
+        rows, 3, 90)
+
+
 def test_no_rows_give_none(spark):
     assert result(spark, []) == []
 
@@ -116,6 +145,23 @@ def test_the_trie_connects_what_all_pairs_connect(seed):
     assert joined((some[a], some[b]) for a, b in found) == joined(everything)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_the_trie_counts_all_pairs(seed):
+    draw = random.Random(seed)
+    sets = {frozenset({1, 2})}
+    for _ in range(draw.randint(0, 40)):
+        sets.add(frozenset(draw.choice(sorted(map(sorted, sets)))) ^ frozenset(
+            draw.randrange(40) for _ in range(draw.randint(0, 4))))
+    sets = [s for s in sets if s]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    probes = [i for i in range(len(sets)) if draw.random() < 0.4]
+    for some in (None, probes, [], [*range(len(sets))]):
+        want = [sum(100 * len(s & t) >= 80 * len(s | t) for j, t in enumerate(sets)
+                    if i != j and (some is None or (i in some) != (j in some)))
+                for i, s in enumerate(sets)]
+        assert trie.link_counts(arrays, 80, 100, some).tolist() == want
+
+
 @pytest.mark.parametrize("part", [80, 90])
 @pytest.mark.parametrize("seed", range(4))
 def test_similar_sets_share_a_signature(part, seed):
