@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from quire.llm.packing import BUCKETS, BUDGET, MAX_LENGTH
 from quire.llm.quality import HOST_LIMIT, MOST_STRENGTH
+from quire.llm.resampling import BUCKETS as RESAMPLING_BUCKETS
+from quire.llm.resampling import LEAST_WORDS, PERCENT, SEED
 from quire.llm.secrets import SCOPE
 
 ORACLES: dict[str, str] = {}
@@ -223,3 +225,46 @@ kept AS (
 SELECT doc_id, n AS n_bytes, n - length(k.h) // 2 AS n_removed, count(s.a) AS n_spans,
   sha256(unhex(k.h)) AS kept_sha256
 FROM d JOIN kept k USING (doc_id) LEFT JOIN spans s USING (doc_id) GROUP BY doc_id, n, k.h"""
+
+ORACLES["op13_resampling"] = rf"""
+WITH table_of AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)),
+      lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+texts AS (
+  SELECT 0 AS kind, doc_id, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark),
+words AS (
+  SELECT kind, doc_id, unnest(list_filter(regexp_split_to_array(
+    translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM texts),
+times AS (SELECT kind, doc_id, w, count(*) AS n FROM words GROUP BY ALL),
+known AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)),
+    lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % {RESAMPLING_BUCKETS}
+    AS bucket
+  FROM (SELECT DISTINCT w FROM times), table_of),
+counted AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0) AS s,
+    coalesce(sum(n) FILTER (kind = 1), 0) AS t
+  FROM times JOIN known USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counted)
+      + {RESAMPLING_BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counted)
+      + {RESAMPLING_BUCKETS})::DOUBLE)))::BIGINT AS gain FROM counted),
+weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS weight
+  FROM times JOIN known USING (w) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))
+      ::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weights USING (doc_id)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {LEAST_WORDS}
+    ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {LEAST_WORDS}
+  AND place <= {PERCENT} * (SELECT count(*) FROM scored WHERE n_features >= {LEAST_WORDS}) // 100
+  THEN place END AS rank FROM placed"""
