@@ -7,6 +7,7 @@ from quire.llm.quality import HOST_LIMIT, MOST_STRENGTH
 from quire.llm.resampling import BUCKETS as RESAMPLING_BUCKETS
 from quire.llm.resampling import LEAST_WORDS, PERCENT, SEED
 from quire.llm.secrets import SCOPE
+from quire.llm.vectors import SCALE, STEP, TOP
 
 ORACLES: dict[str, str] = {}
 
@@ -268,3 +269,16 @@ placed AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {LEAST_WORDS}
   AND place <= {PERCENT} * (SELECT count(*) FROM scored WHERE n_features >= {LEAST_WORDS}) // 100
   THEN place END AS rank FROM placed"""
+
+ORACLES["op12_top_products"] = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % {STEP} = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP}"""

@@ -18,6 +18,7 @@ from quire.llm import (
     sharding,
     simhash,
     token_files,
+    vectors,
 )
 from quire.llm.common import documents
 from quire.llm.oracles import ORACLES
@@ -73,6 +74,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_digest(documents(spark, sf_dir))
 
 
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return resampling.resample_digest(documents(spark, sf_dir), target)
@@ -82,6 +87,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
         op7_ngram_join, op7_ngram_links, op8_quality, op9_chat, op10_repeats,
-        op13_resampling)}
+        op12_top_products, op13_resampling)}
 
 __all__ = ["ORACLES", "QUERIES"]
