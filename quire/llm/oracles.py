@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quire.llm.collocations import ABSORBED, LEAST
+from quire.llm.collocations import SCALE as PHRASE_SCALE
+from quire.llm.collocations import TOP as PHRASE_TOP
 from quire.llm.packing import BUCKETS, BUDGET, MAX_LENGTH
 from quire.llm.quality import HOST_LIMIT, MOST_STRENGTH
 from quire.llm.resampling import BUCKETS as RESAMPLING_BUCKETS
@@ -282,3 +285,38 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP}"""
+
+ORACLES["op11_collocations"] = rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS ws
+  FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2),
+    lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS g
+  FROM pieces, range(1, 5) AS sizes(m)),
+times AS (
+  SELECT lang, m, g, string_split(g, ' ') AS ws, count(*) AS f FROM grams GROUP BY ALL
+  HAVING count(*) >= {LEAST}),
+cuts AS (
+  SELECT lang, m, g, f, k, array_to_string(ws[1:k], ' ') AS lg, array_to_string(ws[k + 1:], ' ') AS rg
+  FROM times, range(1, 4) AS places(k) WHERE k < m),
+best AS (
+  SELECT c.lang, c.m, c.g, c.f, min({{'score': {PHRASE_SCALE}::HUGEINT * c.f // (l.f + r.f), 'k': k,
+    'l': l.f, 'r': r.f}}) AS b
+  FROM cuts c JOIN times l ON l.lang = c.lang AND l.g = lg JOIN times r ON r.lang = c.lang AND r.g = rg
+  GROUP BY c.lang, c.m, c.g, c.f),
+inner_ones AS (
+  SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS g, max(f) AS most
+  FROM times, range(1, 4) AS a(i), range(2, 4) AS b(s) WHERE s < m AND i + s - 1 <= m
+  GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, b.g, b.f, b.b, row_number() OVER (
+    PARTITION BY b.lang ORDER BY b.b.score DESC, b.f DESC, b.g) AS rank
+  FROM best b LEFT JOIN inner_ones i ON i.lang = b.lang AND i.g = b.g
+  WHERE most IS NULL OR 100::HUGEINT * most < {ABSORBED}::HUGEINT * b.f)
+SELECT lang, rank, g AS phrase, f AS a, b.l AS l, b.r AS r, n, b.score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= {PHRASE_TOP}"""

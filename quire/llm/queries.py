@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm import (
     bpe,
     chat,
+    collocations,
     jaccard,
     packing,
     quality,
@@ -74,6 +75,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_digest(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -87,6 +92,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_packing, op2_sharding, op3_bpe, op4_secrets, op5_simhash, op6_token_counts,
         op7_ngram_join, op7_ngram_links, op8_quality, op9_chat, op10_repeats,
-        op12_top_products, op13_resampling)}
+        op11_collocations, op12_top_products, op13_resampling)}
 
 __all__ = ["ORACLES", "QUERIES"]
