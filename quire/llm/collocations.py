@@ -22,7 +22,7 @@ SCALE = 2_000_000
 ABSORBED = 80       # of a hundred occurrences inside a longer candidate
 TOP = 2000
 BLOCK = 4 << 20
-WAITING = 16 << 20  # bytes of unfinished blocks in a task
+WAITING = 8 << 20  # bytes of unfinished blocks in a task
 SAMPLE_BLOCKS = 16
 SALTS = 32
 MOST_WORDS = 2**31 - 1
@@ -182,10 +182,11 @@ def _run_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for places, at, ids in rows_of(batches):
         hi, lo, n = _distinct(*_windows(_word_numbers(places, at, ids)))
         packed = np.stack([hi, lo], axis=1).astype(">i8")
-        for a in range(0, len(n), 100_000):
-            some = packed[a:a + 100_000].tobytes()
+        del hi, lo
+        for a in range(0, len(n), 25_000):
+            some = packed[a:a + 25_000].tobytes()
             trie.add([some[i:i + 16] for i in range(0, len(some), 16)],
-                     n[a:a + 100_000].tolist())
+                     n[a:a + 25_000].tolist())
             for run in trie.spill():
                 runs.append(run)
                 held += len(run[1])
@@ -313,9 +314,8 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     hot = sorted(row["hi"] for row in pairs.where(F.col("n") > share).collect())  # < 4 x parts
 
     runs = _with_numbers(blocks, occurrences, words, parts).mapInArrow(_run_stage, _WINDOWS)
-    salt = F.when(F.col("hi").isin(hot), F.col("lo")).otherwise(F.lit(-1)) if hot else F.lit(-1)
-    sorted_runs = runs.withColumn("salt", salt.cast("long")).repartition(
-        parts, "hi", "salt").sortWithinPartitions("hi", "lo").select("hi", "lo", "n")
+    salt = F.when(F.col("hi").isin(hot), F.col("lo")) if hot else F.lit(0)
+    sorted_runs = runs.repartition(parts, "hi", salt).sortWithinPartitions("hi", "lo")
     merged = sorted_runs.mapInArrow(_merge_stage(least, frozenset(hot)), _PHRASES)
     if hot:
         is_hot = F.col("hi").isin(hot)

@@ -9,7 +9,7 @@ import numpy as np
 WORD = 4            # bytes of a word number
 WINDOW = 4 * WORD   # a window: its first word and the three that follow, 0 where there is none
 BURST = 4096
-MOST = 1_000_000
+MOST = 300_000
 
 
 class HatTrie:
