@@ -70,7 +70,14 @@ class Best:
         merged.sort()
         self.found[at] = merged[:self.top]
         if len(merged) >= self.top:
-            self.least[at] = float(-merged[self.top - 1][0])
+            self.least[at] = _double(-merged[self.top - 1][0])
+
+
+def _double(whole: int) -> float:
+    try:
+        return float(whole)
+    except OverflowError:
+        return np.inf if whole > 0 else -np.inf
 
 
 def visit(best: Best, block: Columns) -> None:
@@ -83,7 +90,7 @@ def visit(best: Best, block: Columns) -> None:
     queries = best.queries
     if not len(block.rows) or not len(queries.rows):
         return
-    if queries.largest * block.largest >= EXACT:
+    if not queries.largest * block.largest < EXACT:
         return _visit_large(best, block)
     alive = np.arange(len(block.rows))
     sums = np.zeros((len(queries.rows), len(alive)))
@@ -220,7 +227,7 @@ def _search(top: int):
 
 def _rows(best: Best) -> pa.RecordBatch:
     queries = zip(best.queries.rows.tolist(), best.queries.ids.tolist(), best.found)
-    out = [(query, query_id, row, vec_id, min(max(-low, LOWEST), HIGHEST), float(-low))
+    out = [(query, query_id, row, vec_id, min(max(-low, LOWEST), HIGHEST), _double(-low))
            for query, query_id, found in queries for low, vec_id, row in found]
     columns = list(zip(*out)) or [()] * 6
     kinds = [pa.int64()] * 5 + [pa.float64()]
