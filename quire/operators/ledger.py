@@ -10,8 +10,11 @@ from quire.operators.convert import attachments_path
 from quire.operators.skew import HOT_ROWS, cut_lineage, lookup_join
 from quire.options import Options
 from quire.schemas import LEDGER
+from quire.sources import keyed_store
 
 KEY = ["source_path", "file_hash"]
+# So many documents of unknown path, at a few hundred bytes each, may be sent to every task.
+FEW = 100_000
 
 # Reasons given in a plan.
 ALREADY_CONVERTED = "Already converted"
@@ -45,11 +48,8 @@ def build_records(
 
 
 def last_per(ledger: DataFrame, *keys: str) -> DataFrame:
-    """The row with the highest ``seq`` per key; partial maxima come before the shuffle."""
-    others = [c for c in ledger.columns if c not in keys]
-    order = F.struct("seq", *[c for c in KEY if c not in keys])
-    newest = ledger.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r"))
-    return newest.select(*keys, "r.*").select(*ledger.columns)
+    """The row with the highest ``seq`` per key, ties by the rest of the ledger's key."""
+    return keyed_store.last_per(ledger, keys, [c for c in KEY if c not in keys])
 
 
 def upsert(ledger: DataFrame, records: DataFrame) -> DataFrame:
@@ -66,8 +66,10 @@ def classify(
     moved: the path is unknown, but name, size and hash are those of a record; else new.
     With ``retry_failed``, an unchanged document that failed before is ``retry``.
 
-    Documents meet the ledger by path first. Only those whose path is unknown, which are few
-    in a usual run, are looked up by name, size and hash.
+    Documents meet the ledger by path first; a stored ledger is bucketed by path and is not
+    moved for that. Only those whose path is unknown, which are few in a usual run, are looked
+    up by name, size and hash: up to ``FEW`` of them go to the tasks that read the ledger,
+    more are met by shuffling both sides.
     """
     by_path = last_per(ledger, "source_path").select(
         F.col("source_path").alias("path"),
@@ -75,10 +77,6 @@ def classify(
         F.col("status").alias("_status"),
         F.lit(True).alias("_known"),
     )
-    seen = ledger.where(F.col("source_size").isNotNull()).select(
-        F.col("source_filename"), F.col("source_size").alias("length"), "file_hash",
-        F.lit(True).alias("_moved"),
-    ).distinct()
     failed = F.lit(options.retry_failed) & (F.col("_status") != "success")
     state = (
         F.when((F.col("_hash") == F.col("file_hash")) & failed, "retry")
@@ -88,12 +86,25 @@ def classify(
     found = cut_lineage(docs.join(by_path, "path", "left"), "by-path")
     known = found.where("_known").select(*docs.columns, state.alias("state"))
     fresh = found.where("_known is null").select(*docs.columns)
-    looked_up = lookup_join(
-        fresh, seen, ["source_filename", "length", "file_hash"], "left", "path", hot_rows)
+    looked_up = _looked_up(fresh, ledger, hot_rows)
     moved = F.when(F.col("_moved"), "moved").otherwise("new")
     return known.unionByName(looked_up.select(*docs.columns, moved.alias("state")))
 
 
+def _looked_up(fresh: DataFrame, ledger: DataFrame, hot_rows: int) -> DataFrame:
+    """``_moved`` is true for documents whose name, size and hash are those of a record."""
+    number = fresh.count()
+    if not number:
+        return fresh.withColumn("_moved", F.lit(None).cast("boolean"))
+    sizes = ["source_filename", "length", "file_hash"]
+    seen = ledger.where(F.col("source_size").isNotNull()).select(
+        "source_filename", F.col("source_size").alias("length"), "file_hash")
+    if number <= FEW:
+        seen = seen.join(F.broadcast(fresh.select(*sizes).distinct()), sizes, "left_semi")
+    return lookup_join(
+        fresh, seen.distinct().withColumn("_moved", F.lit(True)), sizes, "left", "path", hot_rows)
+
+
 def build_plan(
     docs: DataFrame, ledger: DataFrame, options: Options = Options(), hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -27,6 +27,8 @@ class Options:
     force: convert documents the ledger already holds.
     retry_failed: treat an unchanged document whose last run failed as pending.
     max_bytes: larger documents become ``failed`` rows and are not read; None means no limit.
+    verify: open every file, also those whose length and time are as they were.
+    settled_seconds: a file that changed later than this before a run is opened again next time.
     item_order: ``"manifest"`` or ``"spine"`` order of an EPUB's chapters.
     """
 
@@ -39,3 +41,5 @@ class Options:
     max_bytes: int | None = None
     item_order: str = "manifest"
     keep_external_images: bool = False
+    verify: bool = False
+    settled_seconds: float = 2.0

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.names import file_stem, fingerprint, markdown_name
+from quire.functions.names import file_stem, fingerprint, is_supported, markdown_name
 from quire.operators import ledger as ledgers
 from quire.operators import validate as checks
 from quire.operators.convert import (
@@ -23,7 +23,7 @@ from quire.operators.skew import cut_lineage, lookup_join
 from quire.options import Options
 from quire.session import scratch
 from quire.sources import inbox
-from quire.sources.files import hashed_by_path
+from quire.sources.file_states import FileStates
 from quire.sources.ledger_store import LedgerStore
 from quire.sources.manifest import is_missing
 
@@ -44,6 +44,10 @@ class Workspace:
     def ledger(self) -> LedgerStore:
         return LedgerStore(self.spark, f"{self.root}/ledger")
 
+    @property
+    def states(self) -> FileStates:
+        return FileStates(self.spark, f"{self.root}/states")
+
     def converted(self) -> DataFrame | None:
         """The current conversion of every content that the ledger knows; None before the
         first run. A content that was converted again counts with its last run."""
@@ -77,7 +81,7 @@ class Workspace:
         the pending ones themselves, so no other file is read again and no bytes are
         shuffled. Without it they are rows of a table with their ``content``.
         """
-        version = self.ledger.next_version()
+        version = self.ledger.claim()
         with scratch(self.spark):
             plan = cut_lineage(self.plan(docs, by_path), "plan")
             pending = plan.where(F.col("action") == "process")
@@ -86,7 +90,7 @@ class Workspace:
             results.write.mode("overwrite").parquet(self._results_of(version))
         results = self.results(version)
         records = ledgers.build_records(results, run_at, version, self.options)
-        self.ledger.append(records)
+        self.ledger.append(records, version=version)
         return results
 
     def convert_folder(self, folder: str, run_at: Column) -> DataFrame:
@@ -118,7 +122,9 @@ class Workspace:
             return checks.missing_outputs(ledger, nothing, nothing, CONTENT)
         group = attachments_path(F.col("file_hash"), self.options)
         content = [*CONTENT, "run"]
-        texts = runs.where(F.col("status") == "success")
+        # only the folders of runs that some record still refers to are read
+        live = [row["seq"] for row in ledger.select("seq").distinct().collect()]
+        texts = runs.where((F.col("status") == "success") & F.col("run").isin(live))
         all_links = checks.image_links(texts, *content)
         links = cut_lineage(self._current(all_links).select(*CONTENT, "ref"), "links")
         names = texts.select(*content, F.explode("images.name").alias("name"))
@@ -133,27 +139,25 @@ class Workspace:
         """Documents without their bytes, which are read again only for pending ones.
 
         Lengths are filters of the scan, so the bytes of documents above ``max_bytes`` are
-        not read. Spark's reader fails on files above its own limit; those are hashed by
-        their paths.
+        not read. Of files, only those whose state differs from the remembered one are
+        opened, and none of a format that is not supported.
         """
         narrow = ["path", "source_filename", "length", "format"]
         limit = self.options.max_bytes
-        wanted = docs if limit is None else docs.where(F.col("length") <= limit)
+        fits = F.lit(True) if limit is None else F.col("length") <= limit
         if by_path:
-            most = int(self.spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-            fits = wanted.where(F.col("length") <= most)
-            rest = wanted.where(F.col("length") > most).select(*narrow)
-            hashed = self._with_hash(fits, narrow).unionByName(hashed_by_path(rest))
+            fits &= is_supported(F.col("format"), self.options.supported)
+            files = docs.where(fits).select(*narrow, "modificationTime")
+            hashed = self.states.hashed(
+                files, self.options.verify, self.options.settled_seconds).select(
+                *narrow, "file_hash")
         else:
-            hashed = self._with_hash(wanted, narrow)
-        if limit is None:
-            return hashed
-        above = docs.where(F.col("length") > limit).select(
-            *narrow, F.lit(None).cast("string").alias("file_hash"))
-        return hashed.unionByName(above)
-
-    def _with_hash(self, docs: DataFrame, narrow: list[str]) -> DataFrame:
-        return docs.select(*narrow, fingerprint(F.col("content")).alias("file_hash"))
+            hashed = docs.where(fits).select(
+                *narrow, fingerprint(F.col("content")).alias("file_hash"))
+            if limit is None:
+                return hashed
+        rest = docs.where(~fits).select(*narrow, F.lit(None).cast("string").alias("file_hash"))
+        return hashed.unionByName(rest)
 
     def _convert_new_contents(
         self, docs: DataFrame, pending: DataFrame, version: int, by_path: bool

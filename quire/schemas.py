@@ -36,10 +36,13 @@ MANIFEST = T.StructType([
     T.StructField("files", T.MapType(T.StringType(), MANIFEST_ENTRY)),
 ])
 
-COMMITS = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("name", T.StringType()),
+# What is known of a file without opening it again.
+FILE_STATE = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("modified_at", T.TimestampType()),
+    T.StructField("file_hash", T.StringType()),
+    T.StructField("seq", T.LongType()),
 ])
 
 IMAGE = T.StructType([

@@ -1,105 +1,19 @@
-"""The ledger on shared storage: appended runs, now and then merged into a snapshot."""
+"""The ledger on shared storage."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from quire.operators.ledger import KEY, empty_ledger, last_per
-from quire.schemas import COMMITS, LEDGER
-from quire.session import remove
-from quire.sources.manifest import is_missing
+from quire.operators.ledger import KEY
+from quire.schemas import LEDGER
+from quire.sources.keyed_store import MOST_RUNS, KeyedStore
 
-MOST_RUNS = 64
 
+class LedgerStore(KeyedStore):
+    """Ledger records by (source_path, file_hash), bucketed by path: a plan, which asks for
+    the last record of each path, moves only the documents. See ``KeyedStore``."""
 
-class LedgerStore:
-    """A folder of parquet runs and a commit table that says which of them count.
-
-    A run is written first and committed after, so readers never see half a run. A named
-    run can be written again: its new rows replace the old ones, or win over them where a
-    snapshot holds those already. Adding records costs as much as the records; every
-    ``MOST_RUNS`` runs they are merged into a snapshot by themselves, so neither a read nor
-    the list of live runs grows with the age of a ledger. What a snapshot covers is deleted
-    when the next one is written. There must be one writer at a time.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, most_runs: int = MOST_RUNS):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.most_runs = most_runs
-
-    def read(self) -> DataFrame:
-        """The last record per (source_path, file_hash); empty if nothing was written."""
-        return self._rows_of(self._live())
-
-    def next_version(self) -> int:
-        return _next(self._live())
-
-    def append(self, records: DataFrame, name: str | None = None) -> int:
-        """Adds records as one run. A caller that may repeat itself gives the run a name: its
-        rows then replace those of the run of that name, or follow them if those have been
-        merged into a snapshot."""
-        live = self._live()
-        known = [v for v, kind, n in live if name is not None and kind == "run" and n == name]
-        version = known[-1] if known else _next(live)
-        rows = records.withColumn("seq", F.lit(version).cast("long"))
-        self._save(rows.select(*LEDGER.fieldNames()), version, "run", name)
-        if len(live) > self.most_runs:
-            self.compact()
-        return version
-
-    def compact(self) -> int:
-        """Writes the current state as a snapshot; older runs are not read any more."""
-        live = self._live()
-        version = _next(live)
-        self._save(self._rows_of(live).select(*LEDGER.fieldNames()), version, "snapshot", None)
-        covered = next((v for v, kind, _ in live if kind == "snapshot"), None)
-        if covered is not None:
-            self._forget(covered)
-        return version
-
-    def _rows_of(self, live: list[tuple]) -> DataFrame:
-        if not live:
-            return empty_ledger(self.spark)
-        runs = self.spark.read.schema(LEDGER).parquet(*[self._run(v) for v, _, _ in live])
-        return last_per(runs, *KEY)
-
-    def _save(self, rows: DataFrame, version: int, kind: str, name: str | None) -> None:
-        rows.write.mode("overwrite").parquet(self._run(version))
-        commit = self.spark.range(1).select(
-            F.lit(version).cast("long").alias("version"), F.lit(kind).alias("kind"),
-            F.lit(name).cast("string").alias("name"))
-        commit.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/v={version}")
-
-    def _forget(self, snapshot: int) -> None:
-        """Deletes what no reader of the present or the last state needs."""
-        old = self._commits().where(F.col("version") < snapshot).select("version")
-        for row in old.collect():  # at most a snapshot and the runs up to the next
-            remove(self.spark, f"{self.root}/commits/v={row['version']}")
-            remove(self.spark, self._run(row["version"]))
-
-    def _run(self, version: int) -> str:
-        return f"{self.root}/runs/v{version}"
-
-    def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
-        except AnalysisException as problem:
-            if is_missing(problem):
-                return self.spark.createDataFrame([], COMMITS)
-            raise
-
-    def _live(self) -> list[tuple]:
-        """(version, kind, name) of the last snapshot and the runs after it, in order. One
-        entry per run, and there are at most ``most_runs`` or so."""
-        rows = sorted(
-            ((r["version"], r["kind"], r["name"]) for r in self._commits().collect()),
-            key=lambda row: row[0])
-        snapshots = [i for i, row in enumerate(rows) if row[1] == "snapshot"]
-        return rows[snapshots[-1]:] if snapshots else rows
-
-
-def _next(live: list[tuple]) -> int:
-    return live[-1][0] + 1 if live else 1
+    def __init__(
+        self, spark: SparkSession, root: str, most_runs: int = MOST_RUNS, buckets: int | None = None
+    ):
+        super().__init__(spark, root, LEDGER, KEY, most_runs, buckets)
