@@ -152,6 +152,13 @@ ORACLES["ledger_store"] = f"""
 WITH {_LEDGER}
 SELECT source_path, file_hash, output_md, status, error FROM current"""
 
+ORACLES["ledger_store_repeat"] = ORACLES["ledger_store"]
+
+ORACLES["file_states"] = """
+SELECT page_id || '.html' AS source_filename, octet_length(encode(coalesce(html, ''))) AS length,
+  sha256(coalesce(html, '')) AS file_hash, 1::BIGINT AS run
+FROM pages"""
+
 ORACLES["output_tree"] = f"""
 WITH {_TREE}
 SELECT '/out/' || source AS subdir, count(*) FILTER (path LIKE '%.md') AS md_count,
@@ -512,3 +519,8 @@ FROM pages"""
 
 ORACLES["stream_ledger"] = f"""
 WITH {_LEDGER} SELECT source_path, file_hash, output_md, status, error FROM current"""
+
+ORACLES["stream_changes"] = """
+SELECT page_id || '.html' AS source_filename, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 1 END AS times,
+  octet_length(encode(coalesce(html, ''))) + CASE WHEN page_id % 5 = 0 THEN 8 ELSE 0 END AS length
+FROM pages"""

@@ -26,6 +26,7 @@ from quire.functions.links import (
     rewrite_mapped_links,
 )
 from quire.functions.names import (
+    file_name,
     file_stem,
     fingerprint,
     format_of,
@@ -50,11 +51,14 @@ from quire.plans.run import Workspace
 from quire.session import shared_folder, spread
 from quire.sources import inbox as inbox_files
 from quire.sources.epub_items import epub_items as explode_items
+from quire.sources.file_states import FileStates
+from quire.sources.files import export_files
 from quire.sources.ledger_store import LedgerStore
 from quire.sources.manifest import read_manifest, write_manifest
 from quire.sources.output_tree import output_folders
 from quire.sources.output_tree import output_markdown as markdown_of_tree
 from quire.sources.sinks import export_attachments, export_markdown
+from quire.streaming.changes import changed_documents
 from quire.streaming.ingest import start_conversion, start_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +124,40 @@ def ledger_store(spark, sf_dir):
     return store.read().select("source_path", "file_hash", "output_md", "status", "error")
 
 
+@query
+def ledger_store_repeat(spark, sf_dir):
+    """Runs that are repeated with other rows before and after merges, which rewrite only the
+    buckets with news; the last attempt at each run counts."""
+    store = LedgerStore(spark, shared_folder(spark, "ledger"), most_runs=2)
+    rows = _stored_ledger(spark, sf_dir)
+    wrong = rows.withColumns({"status": F.lit("failed"), "error": F.lit("interrupted")})
+    store.append(wrong.where("seq = 1"), name="first")
+    store.append(rows.where("seq = 1"), name="first")
+    store.append(rows.where("seq = 2 and source_size % 3 = 0"))
+    store.append(wrong.where("seq = 2 and source_size % 3 = 1"), name="second")
+    store.append(rows.where("seq = 2 and source_size % 3 = 2"))
+    store.append(rows.where("seq = 2 and source_size % 3 = 1"), name="second")
+    return store.read().select("source_path", "file_hash", "output_md", "status", "error")
+
+
+@query
+def file_states(spark, sf_dir):
+    """Pages as files, hashed, and hashed again: the second time by their states alone."""
+    folder = shared_folder(spark, "pages")
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"),
+        F.coalesce("html", F.lit("")).alias("body"))
+    export_files(pages, folder).count()
+    states = FileStates(spark, shared_folder(spark, "states"))
+    files = inbox_files.scan(spark, folder).select(
+        "path", "source_filename", "length", "modificationTime")
+    states.hashed(files, settled_seconds=0)
+    again = states.hashed(files, settled_seconds=0)
+    known = states.read().select("path", F.col("seq").alias("run"))
+    return again.join(known, "path", "left").select(
+        "source_filename", "length", "file_hash", "run")
+
+
 def _tree(spark, sf_dir):
     """A converter's output tree: one file per document."""
     doc_id = F.col("doc_id").cast("string")
@@ -650,6 +688,25 @@ def stream_convert(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("path", "status", "md")
 
 
+@query
+def stream_changes(spark, sf_dir):
+    """Pages as files, of which some are changed in place: how often a stream delivers each."""
+    folder = shared_folder(spark, "changes")
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"),
+        F.coalesce("html", F.lit("")).alias("body"))
+    longer = pages.where("page_id % 5 = 0").withColumn("body", F.concat("body", F.lit("<!-- -->")))
+    for some in (pages, longer):
+        export_files(some, f"{folder}/in").count()
+        docs = changed_documents(spark, f"{folder}/in", f"{folder}/state", files_per_batch=1000)
+        docs.writeStream.format("parquet").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(
+        ).awaitTermination()
+    delivered = spark.read.parquet(f"{folder}/out")
+    return delivered.groupBy(file_name(F.col("path")).alias("source_filename")).agg(
+        F.count(F.lit(1)).alias("times"), F.max("length").alias("length"))
+
+
 @query
 def stream_ledger(spark, sf_dir):
     """Ledger rows arrive generation by generation; the last one wins."""
