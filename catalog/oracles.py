@@ -524,3 +524,5 @@ ORACLES["stream_changes"] = """
 SELECT page_id || '.html' AS source_filename, CASE WHEN page_id % 5 = 0 THEN 2 ELSE 1 END AS times,
   octet_length(encode(coalesce(html, ''))) + CASE WHEN page_id % 5 = 0 THEN 8 ELSE 0 END AS length
 FROM pages"""
+
+ORACLES["manifest_blocks"] = ORACLES["manifest_read"]

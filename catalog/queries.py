@@ -109,6 +109,24 @@ def manifest_read(spark, sf_dir):
         "output_attachments", "format", _iso("converted_at"), "status", "error")
 
 
+@query
+def manifest_blocks(spark, sf_dir):
+    """The ledger of the labels as one indented JSON object per status, read in small blocks."""
+    folder = shared_folder(spark, "manifest")
+    rows = ledger(spark, sf_dir).withColumn("converted_at", _iso("converted_at"))
+    record = F.to_json(F.struct(
+        "source_path", "source_filename", "source_size", "output_md", "output_attachments",
+        "format", "converted_at", "status", "error"), {"pretty": "true", "ignoreNullFields": "false"})
+    member = F.concat(F.lit('  "'), "file_hash", F.lit('": '), record)
+    whole = rows.groupBy("status").agg(F.concat(
+        F.lit('{\n "version": "1.0",\n "files": {\n'), F.array_join(F.collect_list(member), ",\n"),
+        F.lit("\n }\n}\n")).alias("body"))
+    export_files(whole.select(F.concat("status", F.lit(".json")).alias("name"), "body"), folder).count()
+    return read_manifest(spark, folder, in_blocks=True, block_bytes=10_000).select(
+        "source_path", "source_filename", "source_size", "file_hash", "output_md",
+        "output_attachments", "format", _iso("converted_at"), "status", "error")
+
+
 @query
 def ledger_store(spark, sf_dir):
     """Two appended runs, a snapshot, and the second run repeated with other rows, which are
