@@ -526,3 +526,6 @@ SELECT page_id || '.html' AS source_filename, CASE WHEN page_id % 5 = 0 THEN 2 E
 FROM pages"""
 
 ORACLES["manifest_blocks"] = ORACLES["manifest_read"]
+
+ORACLES["stream_upsert"] = f"""
+WITH {_LEDGER} SELECT source_path, file_hash, output_md, status, error, seq AS run FROM current"""

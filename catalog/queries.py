@@ -60,6 +60,7 @@ from quire.sources.output_tree import output_markdown as markdown_of_tree
 from quire.sources.sinks import export_attachments, export_markdown
 from quire.streaming.changes import changed_documents
 from quire.streaming.ingest import start_conversion, start_ledger
+from quire.streaming.upsert import start_ledger_upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -737,3 +738,17 @@ def stream_ledger(spark, sf_dir):
         start_ledger(arriving, store, f"{folder}/checkpoint").awaitTermination()
     return store.read().select("source_path", "file_hash", "output_md", "status", "error")
 
+
+@query
+def stream_upsert(spark, sf_dir):
+    """Ledger rows in three batches, of which the last says nothing new: the changes come from
+    a state store, and only they become runs."""
+    folder = shared_folder(spark, "stream")
+    rows = _stored_ledger(spark, sf_dir)
+    store = LedgerStore(spark, f"{folder}/ledger")
+    for some in (rows.where("seq = 1"), rows.where("seq = 2"), ledgers.last_per(rows, "source_path")):
+        some.write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        start_ledger_upsert(arriving, store, f"{folder}/checkpoint").awaitTermination()
+    return store.read().select(
+        "source_path", "file_hash", "output_md", "status", "error", F.col("seq").alias("run"))
