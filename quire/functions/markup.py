@@ -3,7 +3,8 @@
 The chain stays inside generated code, with no Python worker. It covers headings,
 paragraphs, line breaks, rules, emphasis, code, links, images and flat lists, with tag
 names in lower case; nested lists, tables and preformatted text need the parser in
-``functions/html.py``. Both give the same text for the markup covered here.
+``functions/html.py``. Both give the same text for the markup covered here, and a page with
+any other markup gets null, not a text with losses.
 """
 
 from __future__ import annotations
@@ -80,7 +81,41 @@ RULES: list[tuple[str, str, str]] = [
 START = "\n"
 
 
+# What the rules cover. A page is inside if nothing that starts like a tag is left when all
+# these are taken away; a link or an image counts as one piece, as the rules read it.
+_VALUE = r'="[^"<>]*"'
+_PLAIN = r'="[^"<>()\[\]\\]*"'  # without characters that links escape
+_OTHERS = rf" *(?: (?:class|id|style|lang|rel|target|width|height|data-[a-z-]+(?<!href)(?<!src)){_VALUE})*"
+_COVERED = (
+    rf"<a{_OTHERS} href{_PLAIN}{_OTHERS} *>[^<]*</a>"
+    rf"|<img{_OTHERS} src{_PLAIN}{_OTHERS}(?: alt{_PLAIN}{_OTHERS})? */?>"
+    r"|</?(?!(?:a|img|ol|table|thead|tbody|tr|td|th|pre|blockquote|dl|dt|dd|head|script|style)\b)"
+    rf"[a-z][a-z0-9]*(?: +[a-z-]+{_VALUE})* */?>"
+    r"|<![^<>-][^<>]*>")
+# Entities without a rule, characters that stand for layout, lists inside lists, marks of
+# emphasis right beside other tags inside a line, and backslashes that Markdown would read.
+_BLOCK = r"/?(?:p|div|li|ul|h[1-6r]|body|html)\b|!"
+_ENTITY = r"&(?!(?:lt|gt|quot|nbsp|copy|middot|amp|apos|#39);)(?:#|[A-Za-z][A-Za-z0-9]*;)"
+_OUTSIDE = (
+    rf"(?s){_ENTITY}|[\x01-\x04]|<ul\b(?:(?!</ul>).)*<ul\b"
+    rf"|</?(?:{_STRESS})\b[^>]*>{_BLANK}*<(?!{_BLOCK})"
+    rf"|<(?!{_BLOCK})[^>]*>{_BLANK}*</?(?:{_STRESS})\b"
+    r"|\\[\\`*_{}\[\]()#+.!-]")
+
+
+def is_covered(html: Column) -> Column:
+    """Whether the rules give the text of a page that the parser gives."""
+    shown = F.regexp_replace(html, RULES[0][1], "")
+    left = F.regexp_replace(shown, _COVERED, "")
+    return ~left.contains("<") & ~shown.rlike(_OUTSIDE)
+
+
 def html_to_markdown(html: Column) -> Column:
+    """The Markdown of a page; null for a page with markup that the rules do not cover."""
+    return F.when(is_covered(html), _rewritten(html))
+
+
+def _rewritten(html: Column) -> Column:
     text = F.concat(F.lit(START), html)
     for kind, found, replacement in RULES:
         if kind == PATTERN:

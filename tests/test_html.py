@@ -1,5 +1,7 @@
 """HTML to Markdown: the parser, and the expressions against it."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,46 @@ def test_no_python_in_the_expression_form(spark):
     plan = pages.select(markup.html_to_markdown(F.col("html")))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "InArrow" not in text
+
+
+@pytest.mark.parametrize("html", [
+    '<a href="u"><b>x</b></a>', "<a href='u'>x</a>", "<P>A</P><P>B</P>", "<p>&eacute;&mdash;</p>",
+    "<p>&#8217;</p>", "<ol><li>a</li></ol>", '<img alt="t" src="i.png">', "<pre>a\n b</pre>",
+    "<table><tr><td>1</td></tr></table>", "<ul><li>a<ul><li>b</li></ul></li></ul>",
+    "<blockquote>q</blockquote>", '<a href="u" title="t">x</a>', "<p>1 < 2</p>", "<b><i>x</i></b>",
+    '<img src="i.png" alt="(x)">', "<p>\\*</p>", "<p>\x02</p>", "<!-- never closed"])
+def test_markup_that_the_expressions_do_not_cover_is_null(spark, html):
+    frame = spark.createDataFrame([(html,)], "html string")
+    assert frame.select(markup.html_to_markdown(F.col("html"))).first()[0] is None
+
+
+def random_page(draw):
+    def text():
+        return " ".join(draw.choice(["one", "Two", "AT&amp;T", "&lt;t&gt;", "a.b", "end.", "(in)", "7"])
+                        for _ in range(draw.randint(1, 4)))
+
+    def inline():
+        tag = draw.choice(["b", "strong", "em", "i", "u", "del", "code"])
+        return draw.choice([
+            text(), text(), f"<{tag}>{text()}</{tag}>", f"<{tag}><br>{text()}</{tag}>", "<br>",
+            f'<a href="http://h/1">{text()}</a>', f'<img src="p.png" alt="{text()}">',
+            f'<span class="c">{text()}</span>', f"<b>{text()}</b><i>{text()}</i>"])
+
+    def block():
+        body = draw.choice([" ", "", "\n"]).join(inline() for _ in range(draw.randint(1, 4)))
+        items = "".join(f"<li>{text()}</li>" for _ in range(draw.randint(1, 3)))
+        return draw.choice([
+            f"<p>{body}</p>", f"<p>{body}</p>", f"<h2>{text()}</h2>", f"<ul>{items}</ul>", "<hr>",
+            f'<div class="d">{body}</div>', "<!-- c -->", f"<ol>{items}</ol>", f"<P>{body}</P>"])
+
+    return draw.choice(["", "\n", " "]).join(block() for _ in range(draw.randint(1, 4)))
+
+
+def test_expressions_give_the_text_of_the_parser_or_null(spark):
+    draw = random.Random(11)
+    pages = [random_page(draw) for _ in range(3000)]
+    frame = spark.createDataFrame([(page,) for page in pages], "html string")
+    rows = frame.select("html", markup.html_to_markdown(F.col("html")).alias("md")).collect()
+    covered = [row for row in rows if row["md"] is not None]
+    assert len(covered) > 800
+    assert [r["html"] for r in covered if html_to_markdown(r["html"]) != r["md"]] == []
