@@ -529,3 +529,8 @@ ORACLES["manifest_blocks"] = ORACLES["manifest_read"]
 
 ORACLES["stream_upsert"] = f"""
 WITH {_LEDGER} SELECT source_path, file_hash, output_md, status, error, seq AS run FROM current"""
+
+ORACLES["orphans_removed"] = """
+SELECT 'n' || page_id % 10 AS name, page_id % 10 >= 7 AS removed,
+  count(*) FILTER (page_id % 10 < 7) AS files
+FROM pages GROUP BY page_id % 10"""

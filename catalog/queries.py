@@ -55,7 +55,7 @@ from quire.sources.file_states import FileStates
 from quire.sources.files import export_files
 from quire.sources.ledger_store import LedgerStore
 from quire.sources.manifest import read_manifest, write_manifest
-from quire.sources.output_tree import output_folders
+from quire.sources.output_tree import output_folders, remove_orphans
 from quire.sources.output_tree import output_markdown as markdown_of_tree
 from quire.sources.sinks import export_attachments, export_markdown
 from quire.streaming.changes import changed_documents
@@ -566,6 +566,27 @@ def orphan_outputs(spark, sf_dir):
     return layout.orphan_outputs(outputs, table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query
+def orphans_removed(spark, sf_dir):
+    """Pages in a tree of folders, of which some are not kept: what was removed, and how many
+    files are left in each folder."""
+    folder = shared_folder(spark, "tree")
+    number = (F.col("page_id") % 10).cast("string")
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("n"), number, F.lit("/"), F.col("page_id").cast("string"), F.lit(".md"))
+        .alias("name"), F.coalesce("html", F.lit("")).alias("body"))
+    export_files(pages, folder).count()
+    every = pages.select(F.regexp_extract("name", "^([^/]*)/", 1).alias("name")).distinct()
+    gone = remove_orphans(spark, folder, every.where("name < 'n7'")).select(
+        file_name(F.col("path")).alias("name"), "removed")
+    place = F.regexp_extract("path", "/(n[0-9])/[^/]*$", 1)
+    left = inbox_files.scan(spark, folder).groupBy(place.alias("name")).agg(
+        F.count(F.lit(1)).alias("files"))
+    return every.join(gone, "name", "left").join(left, "name", "left").select(
+        "name", F.coalesce("removed", F.lit(False)).alias("removed"),
+        F.coalesce("files", F.lit(0)).alias("files"))
+
+
 def _read_back(spark, folder, pattern):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select(

@@ -85,3 +85,30 @@ def export_files(rows: DataFrame, folder: str) -> DataFrame:
                 [pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
     return rows.select("name", "body").mapInArrow(stage, EXPORTED)
+
+
+def remove_paths(paths: DataFrame) -> DataFrame:
+    """Deletes ``paths(path)``, files or whole folders, in tasks; returns ``path, removed``.
+
+    What cannot be deleted stays and is not ``removed``; what is not there any more is. So a
+    task that is repeated gives the same rows. Nothing is deleted before the result is read.
+    """
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        for batch in batches:
+            removed = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    store, place = open_store(path)
+                    kind = store.get_file_info(place).type
+                    if kind == fs.FileType.Directory:
+                        store.delete_dir(place)
+                    elif kind != fs.FileType.NotFound:
+                        store.delete_file(place)
+                    removed.append(True)
+                except (OSError, TypeError, AttributeError):
+                    removed.append(False)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(removed, pa.bool_())], ["path", "removed"])
+
+    return paths.select("path").mapInArrow(stage, "path string, removed boolean")

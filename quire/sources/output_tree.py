@@ -6,6 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.names import file_name
+from quire.operators.layout import orphan_outputs
+from quire.operators.skew import cut_lineage
+from quire.sources.files import remove_paths
+
 IMAGES = "images"
 
 
@@ -55,3 +60,16 @@ def require_output(folders: DataFrame, root: str) -> DataFrame:
     if folders.limit(1).isEmpty():
         raise ValueError(f"No output subdirectories found in {root}")
     return folders
+
+
+def remove_orphans(spark: SparkSession, root: str, keep: DataFrame) -> DataFrame:
+    """Deletes the folders of a tree whose name is not in ``keep(name)`` and returns
+    ``path, removed`` for each; a folder that cannot be deleted stays and does not count.
+
+    Only called on purpose: no run deletes outputs. Folders without any file are not seen,
+    and files directly in ``root`` stay. The deletion is done, once, when this returns.
+    """
+    folders = output_folders(list_tree(spark, root), root)
+    named = folders.select(F.col("subdir").alias("path"), file_name(F.col("subdir")).alias("name"))
+    orphans = orphan_outputs(named, keep, "name")
+    return cut_lineage(remove_paths(orphans), "removed")

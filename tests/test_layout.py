@@ -182,3 +182,23 @@ def test_only_large_keys_are_hot_and_their_number_is_bounded(spark, monkeypatch)
     right = spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("w"))
     joined = skew.lookup_join(skewed, right, ["k"], "inner", "k", hot_rows=1)
     assert joined.count() == 2000
+
+
+def test_orphans_are_removed_and_counted(spark, tmp_path):
+    from quire.sources.files import remove_paths
+    from quire.sources.output_tree import remove_orphans
+
+    for name in ("keep me/a.md", "old 1/auto/b.md", "old 1/images/b.png", "old 2/c.md", "d.md"):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text("x")
+    keep = spark.createDataFrame([("keep me",), ("never there",), (None,)], "name string")
+    removed = remove_orphans(spark, str(tmp_path / "tree"), keep)
+    assert sorted(p.name for p in (tmp_path / "tree").iterdir()) == ["d.md", "keep me"]
+    assert removed.where("removed").count() == 2
+    assert remove_orphans(spark, str(tmp_path / "tree"), keep).count() == 0
+
+    paths = [(str(tmp_path / "tree" / "d.md"),), (str(tmp_path / "none"),), (None,)]
+    found = remove_paths(spark.createDataFrame(paths, "path string")).collect()
+    assert sorted((r["path"] or "", r["removed"]) for r in found) == sorted(
+        [(paths[0][0], True), (paths[1][0], True), ("", False)])
+    assert sorted(p.name for p in (tmp_path / "tree").iterdir()) == ["keep me"]
