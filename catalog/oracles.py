@@ -300,6 +300,17 @@ SELECT 'inbox/' || page_id || '.epub' AS path,
   CASE WHEN broken THEN 0 ELSE 1 END AS image_count
 FROM made"""
 
+ORACLES["convert_quarantine"] = """
+WITH pages_of AS (
+  SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN 'exit'
+    WHEN length(url) % 7 = 0 THEN 'memory' ELSE '' END AS kind FROM pages)
+SELECT 'inbox/' || page_id || '.html' AS path,
+  CASE WHEN kind = '' THEN 'success' ELSE 'failed' END AS status,
+  CASE kind WHEN 'exit' THEN 'conversion ended its process (exit code 7)'
+    WHEN 'memory' THEN 'MemoryError' END AS error,
+  0 AS image_count
+FROM pages_of"""
+
 ORACLES["page_links"] = """
 WITH links AS (
   SELECT page_id, regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1) AS hrefs FROM pages)

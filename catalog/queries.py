@@ -373,6 +373,31 @@ def convert_errors(spark, sf_dir):
     return convert(broken).select("path", "status", "error", "md_filename", "image_count")
 
 
+@query
+def convert_quarantine(spark, sf_dir):
+    """Pages fetched without encryption end their converter's process, those whose address has a
+    length divisible by seven take all memory; each is one failed row, and all others are converted."""
+    docs = _pages_as_documents(spark, sf_dir).join(
+        table(spark, sf_dir, "pages").select(
+            F.concat(F.lit("inbox/"), F.col("page_id").cast("string"), F.lit(".html"))
+            .alias("path"), "url"), "path")
+    kind = F.when(F.col("url").startswith("http://"), F.lit("exit")).when(
+        F.length("url") % 7 == 0, F.lit("memory")).otherwise(F.lit(""))
+    marked = docs.withColumn("content", F.concat(F.encode(kind, "UTF-8"), F.col("content")))
+
+    def poisoned(content: bytes) -> dict:
+        import os
+        if content.startswith(b"exit"):
+            os._exit(7)
+        if content.startswith(b"memory"):
+            bytearray(1 << 40)
+        return convert_html(content)
+
+    limits = Options(document_seconds=60, document_memory=1 << 30)
+    done = convert(marked, {".html": poisoned}, limits)
+    return done.select("path", "status", "error", "image_count")
+
+
 @query
 def page_links(spark, sf_dir):
     hrefs = F.regexp_extract_all("html", F.lit(r'<a [^>]*?href="([^"]*)"'), F.lit(1))

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.batches import batches
 from quire.functions.epub import read_epub, saved_names
+from quire.functions.guarded import Guard
 from quire.functions.html import html_to_markdown
 from quire.functions.links import rewrite_local_links, rewrite_mapped_links
 from quire.functions.names import (
@@ -63,7 +64,7 @@ def default_converters(options: Options = Options()) -> dict[str, Converter]:
 
 def parse(
     docs: DataFrame, converters: Mapping[str, Converter], by_path: bool = False,
-    check_hash: bool = False,
+    check_hash: bool = False, seconds: float | None = None, memory: int | None = None,
 ) -> DataFrame:
     """The Python stage: ``docs(path, file_hash, format, content)`` to ``PARSED`` rows.
 
@@ -71,11 +72,15 @@ def parse(
     ``check_hash``, bytes that do not have the SHA-256 ``file_hash`` are an error. A document
     that its converter cannot read becomes a ``failed`` row with the error text; the rest of
     the batch goes on. One of an unknown format becomes ``skipped``.
+
+    With ``seconds`` or ``memory``, converters run in a child process of the task (see
+    ``Guard``): a document that takes longer, needs more bytes or ends the process is a
+    ``failed`` row as well, and never the end of the job.
     """
     schema = to_arrow_schema(PARSED)
     table = dict(converters)
 
-    def row(path, file_hash, fmt, content=None) -> dict:
+    def row(call, path, file_hash, fmt, content=None) -> dict:
         base = {"path": path, "file_hash": file_hash, "format": fmt}
         if fmt not in table:
             return base | {"status": "skipped"}
@@ -86,7 +91,7 @@ def parse(
                 raise ValueError("no content, or larger than the size limit")
             if check_hash and hashlib.sha256(content).hexdigest() != file_hash:
                 raise ValueError(CHANGED)
-            found = table[fmt](content)
+            found = call(fmt, content)
             names = [name for name, _ in found.get("images", ())]
             saved = saved_names(names)
             images = [
@@ -111,12 +116,18 @@ def parse(
         return len(result.get("md") or "") + bodies
 
     def stage(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guarded = seconds is not None or memory is not None
+        call = Guard(table, seconds, memory) if guarded else lambda fmt, body: table[fmt](body)
         rows = (
-            row(*values)
+            row(call, *values)
             for batch in incoming
             for values in zip(*(column.to_pylist() for column in batch.columns))
         )
-        return batches(rows, schema, size_of)
+        try:
+            yield from batches(rows, schema, size_of)
+        finally:
+            if guarded:
+                call.close()
 
     columns = ["path", "file_hash", "format"] + ([] if by_path else ["content"])
     return docs.select(*columns).mapInArrow(stage, PARSED)
@@ -160,7 +171,10 @@ def convert(
     table = dict(converters) if converters is not None else default_converters(options)
     known = F.col("format").isin(*table)
     bounded = docs.withColumn("content", F.when(known, F.col("content")))
-    return finish(parse(bounded, table, check_hash=check_hash), options)
+    parsed = parse(
+        bounded, table, check_hash=check_hash, seconds=options.document_seconds,
+        memory=options.document_memory)
+    return finish(parsed, options)
 
 
 def convert_files(
@@ -175,7 +189,10 @@ def convert_files(
     total = files.agg(F.sum("length")).first()[0] or 0
     cores = files.sparkSession.sparkContext.defaultParallelism
     dealt = files.repartition(max(cores, -(-total // TASK_BYTES)), "file_hash")
-    return finish(parse(dealt, table, by_path=True, check_hash=True), options)
+    parsed = parse(
+        dealt, table, by_path=True, check_hash=True, seconds=options.document_seconds,
+        memory=options.document_memory)
+    return finish(parsed, options)
 
 
 def attachments_path(file_hash: Column, options: Options = Options()) -> Column:

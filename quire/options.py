@@ -16,7 +16,7 @@ IMAGE_EXTENSIONS = (
     ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".tiff", ".tif",
 )
 
-# Fixed value: seconds an external converter may spend on one document.
+# Fixed value: seconds a converter may spend on one document.
 DOCUMENT_TIMEOUT = 300
 
 
@@ -28,6 +28,9 @@ class Options:
     retry_failed: treat an unchanged document whose last run failed as pending.
     max_bytes: larger documents become ``failed`` rows and are not read; None means no limit.
     verify: open every file, also those whose length and time are as they were.
+    document_seconds: a conversion that takes longer is a ``failed`` row; None means no limit.
+    document_memory: so many bytes a conversion may take beyond what its process has; None
+        means no limit. Without both limits, converters run inside the task's own process.
     settled_seconds: a file that changed later than this before a run is opened again next time.
     item_order: ``"manifest"`` or ``"spine"`` order of an EPUB's chapters.
     """
@@ -43,3 +46,5 @@ class Options:
     keep_external_images: bool = False
     verify: bool = False
     settled_seconds: float = 2.0
+    document_seconds: float | None = DOCUMENT_TIMEOUT
+    document_memory: int | None = None
