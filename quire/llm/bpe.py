@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -9,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import groups_of, rows_of
 from quire.llm.common import text_of, width
 from quire.operators.skew import cut_lineage
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _INT_LISTS = "block string, bucket int, doc_ids binary, words binary, codes binary"
 # str.split() also cuts at these; the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -102,8 +104,6 @@ def _unframed(data: bytes) -> list[np.ndarray]:
 
 def _word_stage(buckets: int, block_bytes: int):
     """Texts to blocks: the words of each block once, by bucket, and the texts as codes."""
-    import json
-
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("block", pa.string()), ("bucket", pa.int32()), ("doc_ids", pa.binary()),
@@ -178,7 +178,6 @@ def _encode_stage(definition):
 
 def _position_stage(coded: pa.Table, replies: pa.Table) -> pa.Table:
     """Joins the ids of a block's words back by position."""
-    import json
     schema = pa.schema([("doc_ids", pa.int64()), ("ids", pa.binary())])
     done = []
     for row in coded.to_pylist():
@@ -233,18 +232,26 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
     return joined.select(F.col("doc_ids").alias("doc_id"), "ids")
 
 
+def _pieces(spark: SparkSession, path: str | None):
+    """The piece of every id, broadcast: as large as the vocabulary, whatever the data."""
+    definition = tokenizer_json(path)
+    if json.loads(definition).get("decoder"):
+        raise ValueError("a tokenizer with a decoder does not join its pieces by one string")
+    vocabulary = load_tokenizer(definition).get_vocab(with_added_tokens=True)
+    pieces = [""] * (max(vocabulary.values(), default=-1) + 1)
+    for piece, number in vocabulary.items():
+        pieces[number] = piece
+    return spark.sparkContext.broadcast(pieces)
+
+
 def decode(encoded: DataFrame, path: str | None = None, joiner: str = " ") -> DataFrame:
     """Adds ``decoded`` to ``encoded(doc_id, ids)``, special tokens included.
 
     Ids meet their pieces in a table that is as large as the vocabulary, whatever the data,
-    so every task holds it. The tokenizer has no decoder: pieces are joined by a space.
+    so every task holds it. Pieces are joined by a space, as the library does for a
+    tokenizer without a decoder; a definition with one is refused.
     """
-    spark = encoded.sparkSession
-    vocabulary = load_tokenizer(tokenizer_json(path)).get_vocab(with_added_tokens=True)
-    pieces = [""] * (max(vocabulary.values(), default=-1) + 1)
-    for piece, number in vocabulary.items():
-        pieces[number] = piece
-    table = spark.sparkContext.broadcast(pieces)
+    table = _pieces(encoded.sparkSession, path)
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece_of = table.value.__getitem__
@@ -262,9 +269,28 @@ def decode(encoded: DataFrame, path: str | None = None, joiner: str = " ") -> Da
         stage, "doc_id long, ids binary, decoded string")
 
 
+def digests(encoded: DataFrame, path: str | None = None, joiner: str = " ") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``encoded(doc_id, ids)``: what
+    ``decode`` gives, of which only digests leave the task, one text at a time."""
+    table = _pieces(encoded.sparkSession, path)
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def digested(doc_id: int | None, ids: bytes) -> tuple:
+        numbers = np.frombuffer(ids, "<u4")
+        text = joiner.join(map(table.value.__getitem__, numbers.tolist()))
+        return (doc_id, len(numbers), hashlib.sha256(ids).hexdigest(),
+                hashlib.sha256(text.encode()).hexdigest())
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for group in groups_of(rows_of(batches), lambda row: len(row[1]), BLOCK_BYTES):
+            columns = zip(*(digested(*row) for row in group))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values, kind) for values, kind in zip(columns, kinds)], names)
+
+    return encoded.select("doc_id", "ids").mapInArrow(stage, kind)
+
+
 def bpe_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    done = decode(encode(docs, path), path)
-    return done.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return digests(encode(docs, path), path)
