@@ -36,11 +36,8 @@ def _count_stage(words: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, np.int64)
         for group in groups_of(rows_of(batches), lambda row: len(row[0]), BATCH_BYTES):
-            for grams in gram_sets([text for text, in group], words):
-                slots += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SLOTS) \
-                    if len(grams) > SLOTS // 4 else 0
-                if len(grams) <= SLOTS // 4:
-                    np.add.at(slots, (grams >> np.uint64(44)).astype(np.int64), 1)
+            grams = np.concatenate(gram_sets([text for text, in group], words))
+            slots += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
         for piece in range(SLOTS // PIECE):
             part = slots[piece * PIECE:(piece + 1) * PIECE]
             if part.any():
@@ -115,38 +112,43 @@ def _set_stage(words: int, part: int, whole: int, slots):
 
 
 def _meet_stage(part: int, whole: int):
-    """From rows sorted by (gram, n, brief): an edge from every row of a run to its first.
+    """From rows sorted by (gram, n, early, brief): edges that hold all candidates together.
 
-    A run ends with the n-gram, or where sizes are too far apart for any pair across.
+    Of two similar sets, the smaller one has the n-gram early. So an early row points at the
+    first early one of its run, which ends with the n-gram or where sizes of early rows are
+    too far apart for any pair across; a late row points there too if the last early row,
+    which is smaller, is large enough, and else at nothing.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, size, head = None, 0, None
+        carried: tuple[int, int, int] | None = None  # n-gram and size of a run's end, its head
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grams = batch.column(0).to_numpy(zero_copy_only=False)
-            sizes = batch.column(1).to_numpy(zero_copy_only=False)
-            breaks = np.ones(len(grams), bool)
-            breaks[1:] = (grams[1:] != grams[:-1]) | (whole * sizes[:-1] < part * sizes[1:])
-            breaks[0] = head is None or grams[0] != gram or whole * size < part * int(sizes[0])
-            nodes = batch.column(2)
-            first = np.maximum.accumulate(np.where(breaks, np.arange(len(grams)), -1))
-            rest = np.flatnonzero(~breaks)
-            before = first[rest] < 0
-            carried = rest[before]
-            own = rest[~before]
-            if len(carried):
-                yield pa.RecordBatch.from_arrays(
-                    [nodes.take(pa.array(carried)), pa.array([head] * len(carried), pa.int64())],
-                    schema=schema)
-            if len(own):
-                yield pa.RecordBatch.from_arrays(
-                    [nodes.take(pa.array(own)), nodes.take(pa.array(first[own]))], schema=schema)
-            gram, size = grams[-1], int(sizes[-1])
-            if first[-1] >= 0:
-                head = nodes[int(first[-1])].as_py()
+            grams, sizes, early, nodes = (
+                column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            if carried:
+                grams, sizes, nodes = (
+                    np.concatenate([[value], column])
+                    for value, column in zip(carried, (grams, sizes, nodes)))
+                early = np.concatenate([[True], early])
+            at = np.flatnonzero(early)
+            if not len(at):
+                continue
+            gram, size = grams[at], sizes[at].astype(np.int64)
+            starts = np.ones(len(at), bool)
+            starts[1:] = (gram[1:] != gram[:-1]) | (whole * size[:-1] < part * size[1:])
+            head = nodes[at[np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))]]
+            late = np.flatnonzero(~early)
+            before = np.searchsorted(at, late) - 1
+            late, before = late[before >= 0], before[before >= 0]
+            meets = (gram[before] == grams[late]) & (
+                whole * size[before] >= part * sizes[late].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([nodes[at[~starts]], nodes[late[meets]]])),
+                 pa.array(np.concatenate([head[~starts], head[before[meets]]]))], schema=schema)
+            carried = int(gram[-1]), int(size[-1]), int(head[-1])
 
     return stage
 
@@ -191,6 +193,7 @@ def _signature_stage(words: int, part: int, whole: int):
                 yield pa.RecordBatch.from_pydict({
                     "gram": signs.view(np.int64),
                     "n": np.full(len(signs), len(grams), np.int32),
+                    "early": np.ones(len(signs), bool),
                     "brief": np.full(len(signs), brief, np.int64)})
 
     return stage
@@ -292,8 +295,11 @@ def similar_sets(
        n-grams, rare before frequent, so that common passages come last.
     2. Equal sets become one node. Sets that can be similar share one of the first n-grams
        of their order (as many as the threshold lets two sets differ, and one). Nodes that
-       share one, and have sizes that allow it, are joined by edges along each run of the
-       sorted n-grams: a star, never all pairs. Its components hold all candidates.
+       share one, and have sizes and places of it that allow it, are joined by edges along
+       each run of the sorted n-grams: a star, never all pairs. Its components hold all
+       candidates. For a similar set of its own size or larger, a set needs only about half
+       of those n-grams (``early``), so copies with changes of their own, whose first n-grams
+       nobody shares, do not meet at those that all copies have.
     3. Components of more than 512 sets, or of a million n-grams, are mostly held together
        by passages that many different texts share. Their sets are cut into segments such
        that similar sets have an equal one (``segment_signatures``), and only sets with an
@@ -319,13 +325,17 @@ def similar_sets(
     # brief stands for a node where nothing is lost if two nodes share it
     nodes = some.groupBy("node").agg(
         F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    # a set shares one of its first n - least + 1 n-grams with any similar set of its size or
+    # larger, least being the overlap that sets of its size need
+    least = F.ceil(2 * part * F.col("n") / (part + whole))
     entries = nodes.select(
-        F.explode("prefix").alias("gram"), "n", F.xxhash64("node").alias("brief"))
+        "n", F.xxhash64("node").alias("brief"), F.posexplode("prefix").alias("place", "gram")
+    ).select("gram", "n", (F.col("place") <= F.col("n") - least).alias("early"), "brief")
 
     def together(rows: DataFrame) -> DataFrame:
-        """Components of the nodes that share a gram of ``rows(gram, n, brief)``."""
+        """Components of the nodes that share a gram of ``rows(gram, n, early, brief)``."""
         ordered = rows.repartition(width(docs.sparkSession), "gram").sortWithinPartitions(
-            "gram", "n", "brief")
+            "gram", "n", "early", "brief")
         met = ordered.mapInArrow(_meet_stage(part, whole), "a long, b long")
         return components(met, "candidates").select(F.col("id").alias("_brief"), "component")
 
@@ -357,7 +367,7 @@ def similar_sets(
     if not loose.isEmpty():
         rows_here = loose.withColumn("brief", F.xxhash64("node"))
         signs = text_of_sets(rows_here).select("brief", "text").mapInArrow(
-            _signature_stage(words, part, whole), "gram long, n int, brief long")
+            _signature_stage(words, part, whole), "gram long, n int, early boolean, brief long")
         closer = rows_here.join(together(signs), F.col("brief") == F.col("_brief"))
         kept = sized.where("chunks = 1").select(*wanted.columns)
         sized = sized_sets(cut_lineage(
