@@ -72,6 +72,22 @@ def test_large_groups_in_chunks_lose_no_link(spark, monkeypatch):
     assert result(spark, rows, 3, 90) == expected(rows, 3, 90)
 
 
+@pytest.mark.parametrize("seed, words, part", [(5, 3, 90), (6, 5, 80)])
+def test_sets_of_unequal_sizes_meet_at_late_grams(spark, seed, words, part):
+    """Copies with words cut off or put on, up to and beyond what the threshold allows."""
+    draw = random.Random(seed)
+    rows = []
+    for base in range(5):
+        text = [f"b{base}w{i}" for i in range(draw.choice([25, 60, 110]))]
+        for _ in range(14):
+            cut, put = draw.randint(0, len(text) // 2), draw.randint(0, len(text) // 4)
+            copy = text[cut:] + [f"n{draw.randrange(9)}" for _ in range(put)]
+            rows.append((len(rows), " ".join(copy)))
+    want = expected(rows, words, part)
+    assert 5 < len({component for *_, component in want}) < len(rows)
+    assert result(spark, rows, words, part) == want
+
+
 def all_links(rows, words, part, whole=100):
     sets = [frozenset(grams(text, words)) for _, text in rows]
     links = {s: sum(1 for t in {*sets} if t and t != s and whole * len(s & t) >= part * len(s | t))
