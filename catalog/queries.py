@@ -52,7 +52,7 @@ from quire.session import shared_folder, spread
 from quire.sources import inbox as inbox_files
 from quire.sources.epub_items import epub_items as explode_items
 from quire.sources.file_states import FileStates
-from quire.sources.files import export_files
+from quire.sources.files import export_files, hashed_by_path
 from quire.sources.ledger_store import LedgerStore
 from quire.sources.manifest import read_manifest, write_manifest
 from quire.sources.output_tree import output_folders, remove_orphans
@@ -612,11 +612,14 @@ def orphans_removed(spark, sf_dir):
         F.coalesce("files", F.lit(0)).alias("files"))
 
 
-def _read_back(spark, folder, pattern):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(
+def _read_back(exported, pattern):
+    """The files that were written, opened by their paths in tasks: a listing of them would
+    pass through the driver."""
+    parts = int(exported.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = exported.select("path").repartition(parts, "path").distinct()
+    return hashed_by_path(paths).select(
         F.regexp_extract("path", pattern, 0).alias("name"),
-        F.sha2("content", 256).alias("content_hash"))
+        F.col("file_hash").alias("content_hash"))
 
 
 @query
@@ -626,8 +629,8 @@ def markdown_sink(spark, sf_dir):
     rows = inbox(spark, sf_dir).select(
         "path", F.concat("source", F.lit(".md")).alias("md_filename"), F.col("text").alias("md"),
         F.lit("success").alias("status"))
-    cut_lineage(export_markdown(rows, folder), "exported")
-    return _read_back(spark, folder, "[^/]*$")
+    exported = cut_lineage(export_markdown(rows, folder), "exported")
+    return _read_back(exported, "[^/]*$")
 
 
 @query
@@ -638,8 +641,8 @@ def attachment_sink(spark, sf_dir):
         hash_prefix(F.col("file_hash")).alias("hash_prefix"),
         F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("name"),
         F.col("text").cast("binary").alias("body"))
-    cut_lineage(export_attachments(rows, folder), "exported")
-    return _read_back(spark, folder, "attachments/[^/]*/[^/]*$")
+    exported = cut_lineage(export_attachments(rows, folder), "exported")
+    return _read_back(exported, "attachments/[^/]*/[^/]*$")
 
 
 # -- validation --------------------------------------------------------------------

@@ -16,10 +16,11 @@ EXPORTED = "path string, bytes long"
 def open_store(path: str):
     """The file system of a path as Spark writes it, and the path inside it."""
     from pyarrow import fs
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
     if path.startswith("file:/"):
-        path = path.removeprefix("file:")
+        # as it is: a name may hold what a URI would have to escape
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    elif "://" in path:
+        return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
 
