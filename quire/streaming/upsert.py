@@ -17,37 +17,42 @@ from quire.sources.ledger_store import LedgerStore
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE = T.StructType([*LEDGER.fields, T.StructField("change", T.StringType())])
+NAMES = LEDGER.fieldNames()
+# Paths of the state with one key; part of what a checkpoint holds, so it must not change.
+BUCKETS = 4096
 
 
 class _LastRecords(StatefulProcessor):
-    """Per path, a digest of the last record of each of its contents, and the last content."""
+    """Of the paths of a bucket, the content and the digest of each one's last record."""
 
     def init(self, handle) -> None:
-        self.records = handle.getMapState("records", "file_hash string", "digest long")
-        self.last = handle.getValueState("last", "file_hash string")
+        self.last = handle.getMapState("last", "path string", "file_hash string, digest long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        newest: dict[str, Row] = {}  # a row per content, however many rows a path has
+        # a row per path and content, however many rows a path has
+        newest: dict[str, dict[str, Row]] = {}
         for row in rows:
-            known = newest.get(row["file_hash"])
+            of_path = newest.setdefault(row["path"], {})
+            known = of_path.get(row["file_hash"])
             if known is None or (row["seq"], row["digest"]) > (known["seq"], known["digest"]):
-                newest[row["file_hash"]] = row
-        before = self.last.get()[0] if self.last.exists() else None
-        last = before
-        for row in sorted(newest.values(), key=lambda r: (r["seq"], r["file_hash"] or "")):
-            content = row["file_hash"] or ""
-            found = self.records.getValue((content,)) if self.records.containsKey((content,)) else None
-            if last is None:
-                change = "new"
-            elif found is not None and found[0] == row["digest"] and last == content:
-                change = "unchanged"
-            else:
-                change = "modified"
-            last = content
-            self.records.updateValue((content,), (row["digest"],))
-            yield Row(**{name: row[name] for name in LEDGER.fieldNames()}, change=change)
-        if last != before:
-            self.last.update((last,))
+                of_path[row["file_hash"]] = row
+        # each call is a round trip to the executor: one to read, one to write what changed
+        for path, of_path in newest.items():
+            found = self.last.getValue((path,))
+            before = None if found is None else tuple(found)
+            last = before
+            for row in sorted(of_path.values(), key=lambda r: (r["seq"], r["file_hash"] or "")):
+                said = (row["file_hash"] or "", row["digest"])
+                if last is None:
+                    change = "new"
+                elif said == last:
+                    change = "unchanged"
+                else:
+                    change = "modified"
+                last = said
+                yield Row(**{name: row[name] for name in NAMES}, change=change)
+            if last != before:
+                self.last.updateValue((path,), last)
 
     def close(self) -> None:
         pass
@@ -58,7 +63,8 @@ def record_changes(records: DataFrame) -> DataFrame:
     ``unchanged`` where the path's last record said the same, else ``modified``.
 
     The state per path lives in a state store beside the checkpoint and moves with it, so no
-    batch reads the ledger. Of several records of one content in a batch only the one with
+    batch reads the ledger. Paths are dealt to ``BUCKETS`` keys, as a key costs more calls to
+    the store than a path; a task holds a batch's rows of one bucket. Of several records of one content in a batch only the one with
     the highest ``seq`` counts. The time and number of a run are not part of what a record
     says. The session needs the store that ``start_ledger_upsert`` sets.
     """
@@ -66,8 +72,10 @@ def record_changes(records: DataFrame) -> DataFrame:
     digested = records.select(
         *LEDGER.fieldNames(), F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
                                            for c in said]).alias("digest"))
-    return digested.withColumn("path", F.coalesce(KEY[0], F.lit(""))).groupBy(
-        "path").transformWithState(_LastRecords(), CHANGE, "Update", "None")
+    path = F.coalesce(KEY[0], F.lit(""))
+    bucket = F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+    return digested.withColumns({"path": path, "bucket": bucket}).groupBy(
+        "bucket").transformWithState(_LastRecords(), CHANGE, "Update", "None")
 
 
 @contextmanager

@@ -66,3 +66,41 @@ def test_changes_of_a_path(spark, tmp_path):
             availableNow=True).start().awaitTermination()
     assert sorted(found, key=repr) == sorted(
         [("/x", "1", "new"), ("/x", "2", "modified"), ("/y", None, "new")], key=repr)
+
+
+class CountedState:
+    """A map state that counts how often it is asked."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def getMapState(self, name, key_schema, value_schema):
+        return self
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+
+def test_a_path_costs_one_read_and_one_write_of_what_changed():
+    state, processor = CountedState(), upsert._LastRecords()
+    processor.init(state)
+
+    def changes(*records):
+        rows = [dict(zip(LEDGER.fieldNames(), record)) | {"path": record[0], "digest": digest}
+                for record, digest in records]
+        before = state.calls
+        found = [row[-1] for row in processor.handleInputRows((7,), iter(rows), None)]
+        return found, state.calls - before
+
+    assert changes((record("/a", "h", 1), 5), (record("/b", "h", 1), 5)) == (["new"] * 2, 4)
+    assert changes((record("/a", "h", 2), 5)) == (["unchanged"], 1)
+    assert changes((record("/a", "k", 3), 6), (record("/a", "h", 4), 5)) == (["modified"] * 2, 1)
+    assert changes((record("/a", "k", 5), 6), (record("/b", "h", 5), 5)) == (
+        ["modified", "unchanged"], 3)
+    assert changes((record("/a", None, 6), 7), (record("/a", "", 6), 7)) == (
+        ["modified", "unchanged"], 2)
