@@ -614,9 +614,10 @@ def orphans_removed(spark, sf_dir):
 
 def _read_back(exported, pattern):
     """The files that were written, opened by their paths in tasks: a listing of them would
-    pass through the driver."""
+    pass through the driver. As in a scan of the folder, empty and hidden ones are left out."""
     parts = int(exported.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    paths = exported.select("path").repartition(parts, "path").distinct()
+    seen = exported.where((F.col("bytes") > 0) & ~F.col("path").rlike("/[._][^/]*$"))
+    paths = seen.select("path").repartition(parts, "path").distinct()
     return hashed_by_path(paths).select(
         F.regexp_extract("path", pattern, 0).alias("name"),
         F.col("file_hash").alias("content_hash"))
