@@ -5,21 +5,24 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import groups_of, rows_of
 from quire.llm.common import text_of, width
-from quire.operators.skew import cut_lineage
 
 BLOCK_BYTES = 8 << 20
-_INT_LISTS = "block string, bucket int, doc_ids binary, words binary, codes binary"
+_CODED = -1  # the bucket of a row that holds a block's texts, not its words
+_ROWS = "block string, bucket int, deal int, doc_ids binary, data binary"
+_SCHEMA = pa.schema([
+    ("block", pa.string()), ("bucket", pa.int32()), ("deal", pa.int32()),
+    ("doc_ids", pa.binary()), ("data", pa.binary())])
 # str.split() also cuts at these; the tokenizer does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -103,13 +106,15 @@ def _unframed(data: bytes) -> list[np.ndarray]:
 
 
 def _word_stage(buckets: int, block_bytes: int):
-    """Texts to blocks: the words of each block once, by bucket, and the texts as codes."""
+    """Texts to blocks: the words of each block once, by bucket, and the texts as codes.
+
+    A block is named by its place and its content, so a task that is repeated after a loss
+    names it alike, and one that met its rows in another order does not.
+    """
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([
-            ("block", pa.string()), ("bucket", pa.int32()), ("doc_ids", pa.binary()),
-            ("words", pa.binary()), ("codes", pa.binary())])
-        for group in groups_of(rows_of(batches), lambda row: len(row[1]), block_bytes):
-            block = uuid.uuid4().hex
+        part = TaskContext.get().partitionId()
+        for number, group in enumerate(
+                groups_of(rows_of(batches), lambda row: len(row[1]), block_bytes)):
             table: dict[str, int] = {}
             ids, lengths, codes = [], [], []
             for doc_id, text in group:
@@ -130,33 +135,44 @@ def _word_stage(buckets: int, block_bytes: int):
                 (zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
             order = np.argsort(bucket_of, kind="stable")
             counts = np.bincount(bucket_of, minlength=buckets)
-            row = {
-                "block": block, "bucket": -1, "doc_ids": json.dumps(ids).encode(),
-                "codes": _framed(
-                    bucket_of, np.array(lengths, np.uint32), whole)}
-            yield pa.RecordBatch.from_pylist([row], schema)
-            at, rows = 0, []
+            doc_ids = json.dumps(ids).encode()
+            codes = _framed(bucket_of, np.array(lengths, np.uint32), whole)
+            digest = hashlib.blake2b(doc_ids, digest_size=16)
+            digest.update(codes)
+            at, packed = 0, {}
             for bucket in np.flatnonzero(counts).tolist():
-                part = b"\n".join([words[i] for i in order[at:at + counts[bucket]].tolist()])
+                some = b"\n".join([words[i] for i in order[at:at + counts[bucket]].tolist()])
                 at += int(counts[bucket])
-                packed = len(part).to_bytes(8, "little") + pa.compress(part, "zstd", asbytes=True)
-                rows.append({"block": block, "bucket": bucket, "words": packed})
+                digest.update(some)
+                packed[bucket] = (
+                    len(some).to_bytes(8, "little") + pa.compress(some, "zstd", asbytes=True))
+            block = f"{part}-{number}-{digest.hexdigest()}"
+            yield pa.RecordBatch.from_pylist([{
+                "block": block, "bucket": _CODED, "deal": zlib.crc32(block.encode()) % buckets,
+                "doc_ids": doc_ids, "data": codes}], _SCHEMA)
+            rows = [{"block": block, "bucket": bucket, "deal": bucket, "data": data}
+                    for bucket, data in packed.items()]
             for start in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_pylist(rows[start:start + 256], schema)
+                yield pa.RecordBatch.from_pylist(rows[start:start + 256], _SCHEMA)
 
     return stage
 
 
 def _encode_stage(definition):
     """Words of a bucket to ids. The table of the bucket's words lives as long as the task,
-    so each distinct word is encoded once."""
+    so each distinct word is encoded once. Texts as codes go through as they are."""
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = load_tokenizer(definition.value)
         known: dict[bytes, bytes] = {}
-        for block, bucket, data in rows_of(batches):
+        for block, bucket, deal, doc_ids, data in _singly(batches):
+            if bucket == _CODED:
+                yield pa.RecordBatch.from_pylist([{
+                    "block": block, "bucket": bucket, "deal": deal, "doc_ids": doc_ids,
+                    "data": data}], _SCHEMA)
+                continue
             size = int.from_bytes(data[:8], "little")
             words = pa.decompress(data[8:], size, "zstd", asbytes=True).split(b"\n")
             new = [w for w in words if w not in known]
@@ -169,30 +185,41 @@ def _encode_stage(definition):
             ids = [known[w] for w in words]
             counts = np.fromiter((len(x) // 4 for x in ids), np.uint32, len(ids))
             flat = np.frombuffer(b"".join(ids), "<u4")
-            yield pa.RecordBatch.from_pydict({
-                "block": [block], "bucket": pa.array([bucket], pa.int32()),
-                "ids": pa.array([_framed(counts, flat)], pa.binary())})
+            yield pa.RecordBatch.from_pylist([{
+                "block": block, "bucket": bucket, "deal": deal,
+                "data": _framed(counts, flat)}], _SCHEMA)
 
     return stage
 
 
-def _position_stage(coded: pa.Table, replies: pa.Table) -> pa.Table:
+def _singly(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one at a time, as each may hold megabytes."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield tuple(column[at].as_py() for column in batch.columns)
+
+
+def _position_stage(block: pa.Table) -> pa.Table:
     """Joins the ids of a block's words back by position."""
     schema = pa.schema([("doc_ids", pa.int64()), ("ids", pa.binary())])
+    names = block["bucket"].to_pylist()
+    coded = [i for i, bucket in enumerate(names) if bucket == _CODED]
+    replies = sorted((bucket, i) for i, bucket in enumerate(names) if bucket != _CODED)
+    frames = [_unframed(block["data"][i].as_py()) for _, i in replies]
     done = []
-    for row in coded.to_pylist():
-        bucket_of, lengths, codes = _unframed(row["codes"])
+    for i in coded:
+        bucket_of, lengths, codes = _unframed(block["data"][i].as_py())
+        if [bucket for bucket, _ in replies] != np.unique(bucket_of).tolist():
+            raise ValueError("the words of a block are not those of its texts: the rows of the "
+                             "input changed their order while it was read again")
         counts = np.zeros(len(bucket_of), np.int64)
         order = np.argsort(bucket_of, kind="stable")
-        parts = sorted(
-            zip(replies["bucket"].to_pylist(), replies["ids"].to_pylist()), key=lambda x: x[0])
-        frames = [_unframed(data) for _, data in parts]
         flat = np.concatenate([f[1] for f in frames]) if frames else np.zeros(0, np.uint32)
         sizes = np.concatenate([f[0] for f in frames]) if frames else np.zeros(0, np.uint32)
         counts[order] = sizes
         starts = np.zeros(len(bucket_of), np.int64)
         starts[order] = np.cumsum(sizes, dtype=np.int64) - sizes
-        ids, out = json.loads(row["doc_ids"]), []
+        ids, out = json.loads(block["doc_ids"][i].as_py()), []
         ends = np.cumsum(lengths, dtype=np.int64)
         for end, length in zip(ends.tolist(), lengths.tolist()):
             own = codes[end - length:end]
@@ -200,7 +227,9 @@ def _position_stage(coded: pa.Table, replies: pa.Table) -> pa.Table:
             places = np.repeat(starts[own] - (np.cumsum(n) - n), n)
             out.append(flat[places + np.arange(len(places))].astype("<u4").tobytes())
         done.append(pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema))
-    return pa.concat_tables(done) if done else schema.empty_table()
+    if not done:
+        raise ValueError("words of a block without its texts")
+    return pa.concat_tables(done)
 
 
 def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -212,7 +241,9 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
     words. All blocks' words of a bucket meet in one task, which encodes each distinct word
     once, and the ids go back to the blocks, where they are put in place. So what is
     shuffled are lists of distinct words and numbers, never texts or single occurrences,
-    and no word is hot, as it comes once from a block.
+    and no word is hot, as it comes once from a block. Nothing is written besides the two
+    shuffles; where rows of the input come in another order when lost tasks are repeated,
+    the job ends with an error, as words and texts would not belong together.
 
     Null and empty texts have no ids; repeated rows have the same ids each; other columns
     are ignored; a table without rows gives none.
@@ -221,14 +252,9 @@ def encode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BY
     definition = spark.sparkContext.broadcast(tokenizer_json(path))
     buckets = width(spark)
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    blocks = cut_lineage(
-        texts.mapInArrow(_word_stage(buckets, block_bytes), _INT_LISTS), "bpe-blocks")
-    words = blocks.where("bucket >= 0").select("block", "bucket", "words")
-    replies = words.repartition(buckets, "bucket").mapInArrow(
-        _encode_stage(definition), "block string, bucket int, ids binary")
-    coded = blocks.where("bucket < 0").select("block", "doc_ids", "codes")
-    joined = coded.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        _position_stage, "doc_ids long, ids binary")
+    blocks = texts.mapInArrow(_word_stage(buckets, block_bytes), _ROWS)
+    encoded = blocks.repartition(buckets, "deal").mapInArrow(_encode_stage(definition), _ROWS)
+    joined = encoded.groupBy("block").applyInArrow(_position_stage, "doc_ids long, ids binary")
     return joined.select(F.col("doc_ids").alias("doc_id"), "ids")
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,42 @@ def test_blocks_of_any_size_give_the_same_ids(docs):
     assert collected(few, "doc_id", "ids") == collected(many, "doc_id", "ids")
 
 
+def test_encoding_writes_no_table_besides_its_shuffles(docs, monkeypatch):
+    def refused(spark, label):
+        raise AssertionError(f"a table is written: {label}")
+
+    monkeypatch.setattr("quire.operators.skew.shared_folder", refused)
+    assert bpe.encode(docs).count() == docs.count()
+
+
+def test_words_that_are_not_those_of_the_texts_are_refused():
+    kind = bpe._SCHEMA
+    texts = {"block": "b", "bucket": bpe._CODED, "deal": 0, "doc_ids": b"[1]", "data": bpe._framed(
+        np.array([0, 3], np.uint32), np.array([3], np.uint32), np.array([0, 1, 0], np.uint32))}
+    replies = [{"block": "b", "bucket": bucket, "deal": bucket, "data": bpe._framed(
+        np.array([1], np.uint32), np.array([number], np.uint32))} for bucket, number in ((3, 9), (0, 7))]
+    whole = bpe._position_stage(pa.Table.from_pylist([replies[0], texts, replies[1]], kind))
+    assert whole["ids"].to_pylist() == [np.array([7, 9, 7], "<u4").tobytes()]
+    for rows in ([texts, replies[0]], replies):
+        with pytest.raises(ValueError):
+            bpe._position_stage(pa.Table.from_pylist(rows, kind))
+
+
+def test_words_become_tokens_by_the_call_without_offsets():
+    class OnlyFast:
+        def encode_batch_fast(self, words, add_special_tokens):
+            assert not add_special_tokens
+            return tokenizer.encode_batch_fast(words, add_special_tokens=False)
+
+    tokenizer = bpe.load_tokenizer(bpe.tokenizer_json())
+    tokenizer.encode_special_tokens = True
+    words = ["word", "été", "<|endoftext|>", "a'sß1²", "\x85\x1c", "KÅ", "x" * 500]
+    expected = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+                for w in words]
+    assert list(token_files.tokens_of(OnlyFast(), words * 2_000)) == list(
+        zip(words, expected)) * 2_000
+
+
 def test_odd_characters_are_cut_as_the_library_cuts_them():
     tokenizer = bpe.load_tokenizer(bpe.tokenizer_json())
     draw = random.Random(1)
