@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -30,6 +31,17 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def tokens_of(tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Words with their tokens as the files hold them; offsets, which nobody reads, are not
+    worked out."""
+    for at in range(0, len(words), 4096):
+        some = words[at:at + 4096]
+        for word, found in zip(
+                some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            ids = found.ids
+            yield word, struct.pack(f"<{len(ids)}H", *ids)
+
+
 def write_token_files(
     docs: DataFrame, folder: str | None = None, path: str | None = None,
     end: int = END_OF_TEXT,
@@ -62,11 +74,7 @@ def write_token_files(
                 if len(known) + len(new) > KNOWN_WORDS:  # a store of words seen, no more
                     known.clear()
                     new = list({w for words in split for w in words})
-                for at in range(0, len(new), 4096):
-                    some = new[at:at + 4096]
-                    for word, found in zip(
-                            some, tokenizer.encode_batch(some, add_special_tokens=False)):
-                        known[word] = np.array(found.ids, "<u2").tobytes()
+                known.update(tokens_of(tokenizer, new))
                 for (doc_id, _), words in zip(group, split):
                     data = b"".join([known[w] for w in words]) + mark
                     out.write(data)
