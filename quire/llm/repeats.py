@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,9 @@ def _split_stage(length: int, cell: int):
 
 def _compare_stage(length: int):
     """From contexts sorted by key: the windows that occur again among those of their key,
-    as places in the run (first and after last). Keys are put together up to a megabyte."""
+    as places in the run (first and after last). Keys are put together up to a megabyte; one
+    with a single row is passed over, as equal windows of a run do not exist: all windows of
+    a run have one anchor, at different places in each."""
     schema = pa.schema([
         ("gram", pa.int64()), ("context", pa.int64()), ("hits", pa.list_(pa.int32()))])
 
@@ -222,12 +225,15 @@ def _compare_stage(length: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         size = 0
-        for row in rows_of(batches):
-            if size >= GROUP_BYTES and row[0] != group[-1][0]:
+        for _, own in groupby(rows_of(batches), key=lambda row: row[0]):
+            rows = list(own)
+            if len(rows) == 1:
+                continue
+            if size >= GROUP_BYTES:
                 yield found(group)
                 group, size = [], 0
-            group.append(row)
-            size += len(row[4]) + 1
+            group += rows
+            size += sum(len(row[4]) + 1 for row in rows)
         if group:
             yield found(group)
 
@@ -247,6 +253,25 @@ def _beside(texts: DataFrame, narrow: DataFrame, how: str, small: bool) -> DataF
     return texts.join(F.broadcast(named) if small else named, on, how)
 
 
+def _merged(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Equal pieces of a key as one that counts 2, and the hits of all that are not alone:
+    each of their windows occurs again. Equal windows stand alike to their anchor, so equal
+    pieces have one lead."""
+    own = F.struct("gram", "context", "lead", "skip")
+    groups = cut_lineage(pieces.groupBy("key", "data").agg(
+        F.sum("times").alias("n"), F.min(own).alias("own")), "distinct-pieces")
+    again = groups.where("n > 1").select("key", "data")
+    if _small(again, "data"):
+        again = F.broadcast(again)
+    windows = F.octet_length("data") - (length - 1)
+    hits = pieces.join(again, ["key", "data"], "left_semi").select(
+        "gram", "context", F.array("skip", F.col("skip") + windows).alias("hits"))
+    kept = groups.select(
+        "key", "own.gram", "own.context", F.least("n", F.lit(2)).cast("int").alias("times"),
+        "own.lead", "data", "own.skip")
+    return kept, hits
+
+
 def _by_key(rows: DataFrame) -> DataFrame:
     return rows.repartition(width(rows.sparkSession), "key").sortWithinPartitions("key")
 
@@ -265,7 +290,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
        Burrows-Wheeler transform (``bwt.repeated_windows``), a megabyte of whole anchors at
        a time. An anchor with one context has nothing to compare: it repeats as a whole.
        Anchors with more than 1,024 contexts are split by longer strings around them, in at
-       most four rounds, until each is small or all its contexts are single windows.
+       most four rounds, until each is small. After each round equal pieces become one, and
+       what they hold is known to repeat, so only pieces that differ are cut again.
        A row of ``hits`` has first and after-last places in turn; null means all.
     4. What is found goes back to all runs of a context, and to the documents.
     """
@@ -298,37 +324,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     columns = ["key", "gram", "context", "times", "data", "skip"]
     hot = variety.where(F.col("contexts") > HOT_CONTEXTS).select("gram")
-    if hot.isEmpty():
-        results = [keyed.select(*columns)]
-    else:
-        kept = cut_lineage(keyed, "context-bytes")
-        results = []
+    results, found = [], []
+    if not hot.isEmpty():
+        keyed = cut_lineage(keyed, "context-bytes")
         busy = hot.select(F.col("gram").alias("busy"))
         for cell in (48, 12, 3, 1):
             is_busy = F.col("key") == F.col("busy")
-            results.append(kept.join(busy, is_busy, "left_anti").select(*columns))
-            cut = kept.join(busy, is_busy, "left_semi").mapInArrow(
+            results.append(keyed.join(busy, is_busy, "left_anti").select(*columns))
+            cut = cut_lineage(keyed.join(busy, is_busy, "left_semi").mapInArrow(
                 _split_stage(length, cell),
-                "key long, gram long, context long, times int, lead int, data binary, skip int")
-            kept = cut_lineage(cut, "context-bytes")
-            busy = cut_lineage(kept.groupBy("key").count().where(
+                "key long, gram long, context long, times int, lead int, data binary, skip int"),
+                "context-pieces")
+            keyed, again = _merged(cut, length)
+            found.append(again)
+            busy = cut_lineage(keyed.groupBy("key").count().where(
                 F.col("count") > HOT_CONTEXTS).select(F.col("key").alias("busy")), "hot-keys")
             if busy.isEmpty():
                 break
-        is_busy = F.col("key") == F.col("busy")
-        results.append(kept.join(busy, is_busy, "left_anti").select(*columns))
-        # cells of one start: equal windows have one key, so counting is all there is to do
-        single = kept.join(busy, is_busy, "left_semi")
-        again = single.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1")
-        counted = single.join(again, "key", "left_semi").select(
-            "gram", "context", F.array("skip", F.col("skip") + 1).alias("hits"))
-    compared = results[0]
-    for more in results[1:]:
+    # cells of one start are equal where their keys are, so in the end no key is busy
+    compared = keyed.select(*columns)
+    for more in results:
         compared = compared.unionByName(more)
     hits = _by_key(compared).mapInArrow(
         _compare_stage(length), "gram long, context long, hits array<int>")
-    if not hot.isEmpty():
-        hits = hits.unionByName(counted)
+    for more in found:
+        hits = hits.unionByName(more)
     hits = cut_lineage(hits, "repeated-windows")
 
     merged = hits.groupBy("gram", "context").agg(F.flatten(F.collect_list("hits")).alias("hits"))

@@ -459,6 +459,28 @@ def test_repeated_bytes_are_those_of_all_windows(spark, monkeypatch, hot):
     assert repeats.remove_digest(frame.limit(0)).count() == 0
 
 
+def test_a_common_passage_is_not_cut_again_in_every_text(spark, monkeypatch):
+    written, kept = [], repeats.cut_lineage
+
+    def counted(df, label):
+        found = kept(df, label)
+        if "skip" in found.columns:
+            written.append(found.count())
+        return found
+
+    monkeypatch.setattr(repeats, "cut_lineage", counted)
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 8)
+    draw = random.Random(5)
+    passage = "".join(draw.choice("abcd ") for _ in range(260))
+    texts = ["".join(draw.choice("efgh ") for _ in range(180)) + passage
+             + "".join(draw.choice("efgh ") for _ in range(180)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = repeats.remove_digest(frame)
+    expected = [(i, *row) for i, row in enumerate(without_repeats(texts, 200))]
+    assert collected(found, *found.columns) == sorted(expected, key=repr)
+    assert len(written) > 2 and sum(written[1:]) < 16 * written[0], written
+
+
 def test_characters_stay_whole_and_columns_too(spark):
     shared = "é" * 150
     frame = spark.createDataFrame(
