@@ -189,6 +189,42 @@ def test_words_become_tokens_by_the_call_without_offsets():
         zip(words, expected)) * 2_000
 
 
+def test_words_that_differ_in_case_or_ending_are_encoded_once(monkeypatch):
+    tokenizer = bpe.load_tokenizer(bpe.tokenizer_json())
+    tokenizer.encode_special_tokens = True
+    seen = []
+
+    class Listening:
+        def encode_batch_fast(self, words, add_special_tokens):
+            seen.extend(words)
+            return tokenizer.encode_batch_fast(words, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 5)
+    store = token_files.WordStore(Listening(), token_files.cuts_endings(bpe.tokenizer_json()))
+    for more in ("one", "two", "three", "four", "five"):
+        words = {"The", "the", "the,", "THE!!", "the...", more}
+        assert store.tokens(words) == {
+            w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+            for w in words}
+    assert sorted(seen) == sorted([
+        "the", ",", "!!", "...", "one", "two", "three", "four", "five"])
+    assert not token_files.cuts_endings('{"pre_tokenizer": null, "normalizer": null}')
+
+
+def test_stems_and_endings_are_encoded_as_the_words():
+    tokenizer = bpe.load_tokenizer(bpe.tokenizer_json())
+    tokenizer.encode_special_tokens = True
+    store = token_files.WordStore(tokenizer, True)
+    draw = random.Random(2)
+    odd = "abSsTdm''.,!?<>=|_-éÉİßΣσ\u0301\u0338ªµ×÷ÿÀ…中ǅK²1٣\x85\x1c"
+    words = {"".join(draw.choice(odd) for _ in range(draw.randint(1, 8))) for _ in range(20_000)}
+    words |= {"<|endoftext|>", "we'll'", "it's,", "'s", "'", "x'S'.", "<|startoftext|>a."}
+    found = store.tokens(words)
+    for word in words:
+        ids = tokenizer.encode(word, add_special_tokens=False).ids
+        assert found[word] == np.array(ids, "<u2").tobytes(), repr(word)
+
+
 def test_odd_characters_are_cut_as_the_library_cuts_them():
     tokenizer = bpe.load_tokenizer(bpe.tokenizer_json())
     draw = random.Random(1)
