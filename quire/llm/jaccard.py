@@ -18,7 +18,7 @@ from quire.operators.skew import cut_lineage
 SLOTS = 1 << 20
 PIECE = 1 << 12
 SALTS = 32
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 CHUNK_SETS = 512
 CHUNK_GRAMS = 1 << 20
 

@@ -22,6 +22,7 @@ LENGTH = 200
 GRAM = 32
 SLICE = 1 << 20
 GROUP_BYTES = 1 << 20
+ANCHOR_BYTES = 1 << 19
 HOT_CONTEXTS = 1024
 BROADCAST_BYTES = 32 << 20
 
@@ -87,7 +88,7 @@ def _slices(rows: Iterator[tuple], length: int) -> Iterator[tuple]:
 def _anchor_stage(length: int):
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = _slices(rows_of(batches), length)
-        for group in groups_of(slices, lambda row: len(row[3]), 2 << 20):
+        for group in groups_of(slices, lambda row: len(row[3]), ANCHOR_BYTES):
             text, first, count, lead, gram, context = anchored([row[3] for row in group], length)
             ids, contents, offsets = (
                 pa.array([row[i] for row in group], pa.int64()) for i in range(3))
