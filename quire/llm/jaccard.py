@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.arrow import groups_of, rows_of
 from quire.llm.common import components, matched, text_of, width
 from quire.llm.hashing import mixed, shingle_hashes, word_hashes
+from quire.llm.sketches import near_stage, sketch
 from quire.llm.trie import link_counts, links
 from quire.operators.skew import cut_lineage
+from quire.session import drop_finished_shuffles, remove, shared_folder
 
 SLOTS = 1 << 20
 PIECE = 1 << 12
@@ -21,6 +23,8 @@ SALTS = 32
 BATCH_BYTES = 1 << 19
 CHUNK_SETS = 512
 CHUNK_GRAMS = 1 << 20
+SKETCH_SETS = 2048
+SKETCH_BYTES = 4 << 20
 
 
 def gram_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -199,6 +203,66 @@ def _signature_stage(words: int, part: int, whole: int):
     return stage
 
 
+def _sketch_stage(words: int):
+    """Rows (component, brief, text) to those with the size and the sketch of the set."""
+    schema = pa.schema([("component", pa.int64()), ("brief", pa.int64()), ("n", pa.int64()),
+                        ("sketch", pa.binary())])
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(rows_of(batches), lambda row: len(row[2]), BATCH_BYTES):
+            sets = gram_sets([text for _, _, text in group], words)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row[0] for row in group], pa.int64()),
+                pa.array([row[1] for row in group], pa.int64()),
+                pa.array([len(grams) for grams in sets], pa.int64()),
+                pa.array([sketch(grams).tobytes() for grams in sets], pa.binary())],
+                schema=schema)
+
+    return stage
+
+
+def _meeting_sketches(sketches: DataFrame, part: int, whole: int) -> DataFrame:
+    """Rows (key, cross, side, brief, n, sketch) of ``sketches(component, brief, n, sketch)``
+    such that any two sets of a component whose sizes allow them to be similar share a key.
+
+    Sizes are dealt to classes, so that similar sets are of one class or of neighbours, and
+    the sets of a class to chunks of bounded bytes. Every chunk meets the chunks of its own
+    class and those of the next one.
+    """
+    step = float(np.log(whole / part * 1.001))  # a little more than similar sizes differ by
+    classed = sketches.withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    by_class = Window.partitionBy("component").orderBy("class")
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / SKETCH_SETS),
+                      F.ceil(F.sum(F.octet_length("sketch")) / SKETCH_BYTES)).cast("int")
+
+    def chunks_at(offset: int) -> Column:
+        near = F.lead("class", offset).over(by_class) == F.col("class") + offset
+        return F.coalesce(F.when(near, F.lead("chunks", offset).over(by_class)), F.lit(0))
+
+    chunks = cut_lineage(
+        classed.groupBy("component", "class").agg(size.alias("chunks")).withColumns(
+            {"after": chunks_at(1), "before": chunks_at(-1)}), "sketch-chunks")
+    own = F.pmod(F.xxhash64("brief"), F.col("chunks")).cast("int")
+
+    def numbers(count: str) -> Column:
+        every = F.sequence(F.lit(0), F.col(count) - 1)
+        return F.when(F.col(count) > 0, every).otherwise(F.array().cast("array<int>"))
+
+    def meeting(low: Column, first: Column, second: Column, next_class: bool,
+                cross: Column, side: Column) -> Column:
+        key = F.xxhash64("component", low, first, second, F.lit(next_class))
+        return F.struct(key.alias("key"), cross.alias("cross"), side.alias("side"))
+
+    kind, yes, no = F.col("class"), F.lit(True), F.lit(False)
+    same = F.transform(numbers("chunks"), lambda i: meeting(
+        kind, F.least(own, i), F.greatest(own, i), False, own != i, own > i))
+    after = F.transform(numbers("after"), lambda i: meeting(kind, own, i, True, yes, no))
+    before = F.transform(numbers("before"), lambda i: meeting(kind - 1, i, own, True, yes, yes))
+    return classed.join(chunks, ["component", "class"]).withColumn(
+        "met", F.explode(F.concat(same, after, before))).select(
+            "met.key", "met.cross", "met.side", "brief", "n", "sketch")
+
+
 LINK_COLUMNS = {
     "key": pa.int64(), "probe": pa.bool_(), "cluster": pa.binary(), "node": pa.binary()}
 COUNT_COLUMNS = {"component": pa.int64(), "chunks": pa.int32(), "node": pa.binary()}
@@ -303,7 +367,10 @@ def similar_sets(
     3. Components of more than 512 sets, or of a million n-grams, are mostly held together
        by passages that many different texts share. Their sets are cut into segments such
        that similar sets have an equal one (``segment_signatures``), and only sets with an
-       equal segment stay together.
+       equal segment stay together. Components that are still large, such as those of long
+       texts, which have many segments, are cut by bitmaps of their sets (``sketches``), a
+       sixteenth to a 32nd of the n-grams' bytes: all pairs of sizes that can be similar are
+       compared, and only sets whose bitmaps do not rule it out stay together.
     4. The sets of a component meet in one task, in a trie (``trie.links``). A component of
        more than 512 sets, or of a million n-grams, is cut into chunks, each with the
        component's first set: copies of one text are thereby connected in one pass over
@@ -316,14 +383,17 @@ def similar_sets(
     """
     texts = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     slots = docs.sparkSession.sparkContext.broadcast(gram_counts(texts, words))  # 8 MB
-    rows = cut_lineage(
-        texts.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(
-            _set_stage(words, part, whole, slots),
-            "doc_id long, content long, n long, node binary, prefix array<long>"),
-        "gram-sets")
+    spark = docs.sparkSession
+    wide = texts.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(
+        _set_stage(words, part, whole, slots),
+        "doc_id long, content long, n long, node binary, prefix array<long>")
+    folder = shared_folder(spark, "gram-sets")
+    wide.write.parquet(folder)
+    wide = spark.read.schema(wide.schema).parquet(folder)
+    rows = cut_lineage(wide.drop("prefix"), "set-rows")
     some = rows.where("n > 0")
     # brief stands for a node where nothing is lost if two nodes share it
-    nodes = some.groupBy("node").agg(
+    nodes = wide.where("n > 0").groupBy("node").agg(
         F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
     # a set shares one of its first n - least + 1 n-grams with any similar set of its size or
     # larger, least being the overlap that sets of its size need
@@ -334,12 +404,14 @@ def similar_sets(
 
     def together(rows: DataFrame) -> DataFrame:
         """Components of the nodes that share a gram of ``rows(gram, n, early, brief)``."""
-        ordered = rows.repartition(width(docs.sparkSession), "gram").sortWithinPartitions(
+        ordered = rows.repartition(width(spark), "gram").sortWithinPartitions(
             "gram", "n", "early", "brief")
         met = ordered.mapInArrow(_meet_stage(part, whole), "a long, b long")
         return components(met, "candidates").select(F.col("id").alias("_brief"), "component")
 
     candidates = together(entries)
+    remove(spark, folder)  # its n-grams are half of the input
+    drop_finished_shuffles(spark)
 
     chosen = some.groupBy("node").agg(
         F.min(F.struct("doc_id", "content")).alias("row"), F.first("n").alias("n"))
@@ -363,15 +435,31 @@ def similar_sets(
         return cut_lineage(rows.join(sizes, "component"), "sized-sets")
 
     sized = sized_sets(wanted)
-    loose = sized.where("chunks > 1").select("_id", "_content", "node", "n")
-    if not loose.isEmpty():
-        rows_here = loose.withColumn("brief", F.xxhash64("node"))
-        signs = text_of_sets(rows_here).select("brief", "text").mapInArrow(
+    def by_segments(loose: DataFrame) -> DataFrame:
+        signs = text_of_sets(loose).select("brief", "text").mapInArrow(
             _signature_stage(words, part, whole), "gram long, n int, early boolean, brief long")
-        closer = rows_here.join(together(signs), F.col("brief") == F.col("_brief"))
+        return together(signs)
+
+    def by_sketches(loose: DataFrame) -> DataFrame:
+        sketches = cut_lineage(
+            text_of_sets(loose).select("component", "brief", "text").mapInArrow(
+                _sketch_stage(words), "component long, brief long, n long, sketch binary"),
+            "sketches")
+        dealt = _meeting_sketches(sketches, part, whole).repartition(
+            width(spark), "key").sortWithinPartitions("key")
+        met = dealt.mapInArrow(near_stage(part, whole), "a long, b long")
+        return components(met, "sketched").select(F.col("id").alias("_brief"), "component")
+
+    for closer in (by_segments, by_sketches):
+        loose = sized.where("chunks > 1").select(*wanted.columns)
+        if loose.isEmpty():
+            break
+        loose = loose.withColumn("brief", F.xxhash64("node"))
+        closest = loose.drop("component").join(closer(loose), F.col("brief") == F.col("_brief"))
         kept = sized.where("chunks = 1").select(*wanted.columns)
         sized = sized_sets(cut_lineage(
-            kept.unionByName(closer.select(*wanted.columns)), "closer-sets"))
+            kept.unionByName(closest.select(*wanted.columns)), "closer-sets"))
+        drop_finished_shuffles(spark)
 
     def sets_of(rows: DataFrame) -> DataFrame:
         """The rows with the n-grams of their texts. Texts are hashed anew, not kept."""
@@ -424,7 +512,7 @@ def similar_sets(
         met = met.withColumn("other", F.explode(everywhere)).select(
             F.xxhash64("component", F.least(own, other), F.greatest(own, other)).alias("key"),
             (own != other).alias("cross"), (own < other).alias("probe"), "node", "grams")
-        dealt = met.repartition(width(docs.sparkSession), "key").sortWithinPartitions("key")
+        dealt = met.repartition(width(spark), "key").sortWithinPartitions("key")
         numbers = dealt.mapInArrow(_number_stage(part, whole), "node binary, n long")
         counts = cut_lineage(numbers.groupBy("node").agg(F.sum("n").alias("n_links")), "link-counts")
     return rows.select("doc_id", "content", "n", "node"), groups, counts

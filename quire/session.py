@@ -69,6 +69,15 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over.
+
+    It does when the driver's JVM finds that no plan refers to them, which may take as long
+    as the driver has memory left.
+    """
+    spark._jvm.System.gc()
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give a Python stage one task per core when the scan has fewer splits.
 

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from quire.llm import jaccard, trie
+from quire.llm import jaccard, sketches, trie
 
 DOCS = "doc_id long, text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,3 +193,84 @@ def test_similar_sets_share_a_signature(part, seed):
             assert np.intersect1d(
                 jaccard.segment_signatures(a, part, 100),
                 jaccard.segment_signatures(b, part, 100)).size
+
+
+def test_large_groups_cut_by_sketches_lose_no_link(spark, monkeypatch):
+    """Sizes of several classes, each with several chunks of sketches."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 4)
+    monkeypatch.setattr(jaccard, "SKETCH_SETS", 3)
+    draw = random.Random(8)
+    text = [f"w{i}" for i in range(160)]
+    rows = []
+    for _ in range(90):
+        copy = text[:draw.randint(40, 160)]
+        for _ in range(draw.choice([0, 1, 4])):
+            copy[draw.randrange(len(copy))] = f"n{draw.randrange(99)}"
+        rows.append((len(rows), " ".join(copy)))
+    for part in (80, 90):
+        want = expected(rows, 3, part)
+        assert 1 < len({component for *_, component in want}) < len(rows)
+        assert result(spark, rows, 3, part) == want
+
+
+def test_texts_that_share_passages_are_not_all_compared(spark, monkeypatch):
+    """Different texts with equal segments, and few pairs of them that are similar: only the
+    n-grams of those meet. All slots count alike, as in a corpus with far more n-grams."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 8)
+    monkeypatch.setattr(
+        jaccard, "gram_counts", lambda texts, words: np.ones(jaccard.SLOTS, np.int64))
+    draw = random.Random(9)
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for base in range(60):
+        text = shared + [f"b{base}w{i}" for i in range(300)]
+        rows.append((len(rows), " ".join(text)))
+        if base % 10 == 0:
+            text[draw.randrange(300, 600)] = "x"
+            rows.append((len(rows), " ".join(text)))
+    met = []
+    linked = jaccard._linked
+
+    def counted(sets, part, whole):
+        met.append(sets.count())
+        return linked(sets, part, whole)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    want = expected(rows, 5, 80)
+    assert len({component for *_, component in want}) == 60
+    assert result(spark, rows, 5, 80) == want
+    assert sum(met) == 12
+
+
+@pytest.mark.parametrize("part", [80, 90, 100])
+@pytest.mark.parametrize("seed", range(4))
+def test_sketches_never_rule_out_similar_sets(part, seed):
+    draw = np.random.default_rng(seed)
+    sets = []
+    for n in (1, 2, 5, 40, 300, 1100):
+        base = draw.integers(0, 2**63, n).astype(np.uint64)
+        for change in (0, 0, 0.05, 0.1, 0.2, 0.5):
+            sets.append(np.unique(np.concatenate([
+                base[draw.random(n) >= change],
+                draw.integers(0, 2**63, int(draw.integers(0, max(2, n // 5)))).astype(np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    side = draw.random(len(sets)) < 0.5
+
+    def joined(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return root
+
+    for sides in (None, side):
+        found = joined(sketches.near(
+            np.array([len(s) for s in sets]), [sketches.sketch(s) for s in sets], part, 100, sides))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                shared = len(np.intersect1d(a, b))
+                similar = 100 * shared >= part * (len(a) + len(b) - shared)
+                if similar and (sides is None or sides[i] != sides[j]):
+                    assert found[i] == found[j]
+    assert len(set(joined(sketches.near(
+        np.array([len(s) for s in sets]), [sketches.sketch(s) for s in sets], part, 100)))) > 5
